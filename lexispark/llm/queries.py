@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, sharding
+from . import chat_format, jaccard_join, sharding
 from .common import octets, read_table
 
 #: A pair of rows that the formatting query adds, as its contract says.
@@ -41,9 +41,15 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return laid.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return jaccard_join.link_components(docs, k=3, percent=90).select("doc_id", "n_shingles", "component_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_chat_formatting": op2_chat_formatting,
     "op3_sharding": op3_sharding,
+    "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
 }
 
 ORACLE: dict[str, str] = {}
