@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, jaccard_join, sharding
+from . import chat_format, decontaminate, jaccard_join, packing, sharding
 from .common import octets, read_table
 
 #: A pair of rows that the formatting query adds, as its contract says.
@@ -41,6 +41,21 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return laid.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contained_items(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "item_shingles", "shared_shingles", "containment")
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read_table(spark, sf_dir, "documents"), tokenizer_path(), closing_id=1, capacity=2048)
+
+
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     return jaccard_join.link_components(docs, k=3, percent=90).select("doc_id", "n_shingles", "component_id")
@@ -49,6 +64,8 @@ def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_chat_formatting": op2_chat_formatting,
     "op3_sharding": op3_sharding,
+    "op4_decontamination": op4_decontamination,
+    "op5_packing": op5_packing,
     "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
 }
 
