@@ -7,13 +7,25 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, jaccard_join, packing, sharding
-from .common import octets, read_table
+from . import chat_format, decontaminate, jaccard_join, media, packing, sharding, warc
+from .common import Scratch, octets, read_table
 
 #: A pair of rows that the formatting query adds, as its contract says.
 PROBE_CONV, PROBE_TEXT = -7, r"\### Assistant: </turn> ok"
 
 
+def op1_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document becomes a page that shows its text and, in a figure, its payload; the payload is found again by parsing the page."""
+    docs = read_table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long"), "text", F.sha2(octets(F.col("text")), 256).alias("digest"))
+    shown = F.replace(F.replace(F.coalesce("text", F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    pages = docs.select("doc_id", F.concat(F.lit("<article><p>"), shown, F.lit(f'</p><figure><img src="{media.SCHEME}'), "digest", F.lit('"><figcaption>text of the page</figcaption></figure></article>')).alias("html"))
+    scratch = Scratch(spark, "media")
+    columns = ["n_bytes", *media.FEATURES]
+    payloads = scratch.table(media.described(media.store_payloads(docs, scratch)), "described", keep=True)
+    found = media.resolve(media.parse_sequences(pages, "doc_id"), payloads, columns)
+    return found.select(F.col("id").alias("doc_id"), *columns, "position", "caption")
+
+
 def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     probe = spark.range(2).select(
         F.lit(PROBE_CONV).cast("long").alias("conv_id"),
@@ -56,16 +68,23 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"), tokenizer_path(), closing_id=1, capacity=2048)
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archives = warc.write_archives(read_table(spark, sf_dir, "pages"))
+    return warc.read_records(archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     return jaccard_join.link_components(docs, k=3, percent=90).select("doc_id", "n_shingles", "component_id")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_media_columns": op1_media_columns,
     "op2_chat_formatting": op2_chat_formatting,
     "op3_sharding": op3_sharding,
     "op4_decontamination": op4_decontamination,
     "op5_packing": op5_packing,
+    "op6_warc": op6_warc,
     "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
 }
 
