@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, jaccard_join, media, packing, sharding, warc
+from . import chat_format, decontaminate, jaccard_join, language, media, packing, secrets, sharding, warc
 from .common import Scratch, octets, read_table
 
 #: A pair of rows that the formatting query adds, as its contract says.
@@ -78,6 +78,21 @@ def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.link_components(docs, k=3, percent=90).select("doc_id", "n_shingles", "component_id")
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long"), "text", "lang")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
+    model = language.KernelModel.fit(*language.labelled_sample(docs.where(~held_out).select(F.col("doc_id").alias("key"), "text", "lang")))
+    found = language.predict(docs.select("doc_id", held_out.alias("held_out"), "text"), model)
+    return found.select("doc_id", "held_out", "lang_pred", "score")
+
+
+def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ratios = secrets.train(secrets.sample_tokens(spark))
+    found = secrets.scan(read_table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long"), "text"), ratios)
+    count = lambda kind: F.size(F.filter("base_spans", lambda s: s["kind"] == secrets.KINDS.index(kind))).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", *map(count, ("assign", "access", "hex")), F.sha2(secrets.joined(F.col("base_spans")), 256).alias("base_sha256"), secrets.joined(F.col("spans")).alias("spans"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_media_columns": op1_media_columns,
     "op2_chat_formatting": op2_chat_formatting,
@@ -85,7 +100,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_decontamination": op4_decontamination,
     "op5_packing": op5_packing,
     "op6_warc": op6_warc,
+    "op7_language_id": op7_language_id,
     "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
+    "op10_secret_scans": op10_secret_scans,
 }
 
 ORACLE: dict[str, str] = {}
