@@ -60,5 +60,16 @@ def octets(text: Column) -> Column:
     return F.encode(F.coalesce(text, F.lit("")), "UTF-8")
 
 
+#: Up to so many keys of a few numbers each are told to every task; more are joined by a shuffle.
+MOST_TOLD = 500_000
+
+
+def without_rows(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs without the rows whose id and text's xxhash64 are in gone (doc_id, h), a table that is cheap to count. Null ids are equal to each other, null text to empty."""
+    gone = gone.select(F.col("doc_id").alias("__d"), F.col("h").alias("__h")).distinct()
+    told = F.broadcast(gone) if gone.count() <= MOST_TOLD else gone
+    return docs.join(told, F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("__d")) & (F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))) == F.col("__h")), "left_anti")
+
+
 def partitions_for(rows: int, each: int) -> int:
     return max(1, -(-rows // each))

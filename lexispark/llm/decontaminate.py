@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import ngrams
+from .common import Scratch, without_rows
 
 #: Bytes of item texts that one pass over the documents takes along.
 BLOCK_BYTES = 32 << 20
@@ -126,5 +127,5 @@ def contained_items(docs: DataFrame, items: DataFrame, k: int = 5, percent: int
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """docs (doc_id, text and other columns) without the rows that hold an item; repeated and null-id rows are told apart by their text."""
-    bad = contained_items(docs, items, k, percent).select(F.col("doc_id").alias("__d"), F.col("h").alias("__h")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(F.col("__d")) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col("__h")), "left_anti")
+    found = contained_items(docs, items, k, percent).select("doc_id", "h")
+    return without_rows(docs, Scratch(docs.sparkSession, "leaks").table(found, "rows", keep=True))

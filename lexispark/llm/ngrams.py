@@ -67,6 +67,16 @@ def chunks(column: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, int, np
         lo = hi
 
 
+def span_hashes(values: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
+    """Hashes of the runs values[s:e]."""
+    n = len(values)
+    up, down = _power(n + 1)
+    with np.errstate(over="ignore"):
+        sums = np.zeros(n + 1, dtype=np.uint64)
+        np.cumsum(values * up[:n], out=sums[1:])
+        return finalise((sums[e] - sums[s]) * down[s] + (e - s).astype(np.uint64) * _U(0xD1B54A32D192ED03))
+
+
 def word_hashes(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray = SPACES) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words in order, and the number of words before each text (len(texts) + 1 numbers)."""
     n = len(data)
@@ -81,12 +91,7 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray =
     ends = offsets[1:][offsets[:-1] < offsets[1:]] - 1
     last[ends] = inside[ends]
     s, e = np.flatnonzero(first), np.flatnonzero(last) + 1
-    up, down = _power(n + 1)
-    with np.errstate(over="ignore"):
-        sums = np.zeros(n + 1, dtype=np.uint64)
-        np.cumsum(_VALUES[data] * up[:n], out=sums[1:])
-        h = (sums[e] - sums[s]) * down[s] + (e - s).astype(np.uint64) * _U(0xD1B54A32D192ED03)
-    return finalise(h), np.searchsorted(s, offsets, side="left")
+    return span_hashes(_VALUES[data], s, e), np.searchsorted(s, offsets, side="left")
 
 
 def shingle_hashes(words: np.ndarray, starts: np.ndarray, k: int, short: bool = True) -> tuple[np.ndarray, np.ndarray]:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, jaccard_join, language, media, packing, secrets, sharding, warc
+from . import chat_format, decontaminate, jaccard_join, language, line_dedup, media, packing, secrets, sharding, warc
 from .common import Scratch, octets, read_table
 
 #: A pair of rows that the formatting query adds, as its contract says.
@@ -86,6 +86,11 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.drop_recurring_lines(read_table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long"), "text"))
+    return found.select("doc_id", "n_lines", "n_dropped", F.length("text").cast("long").alias("kept_chars"), F.sha2(F.encode("text", "UTF-8"), 256).alias("kept_sha256"))
+
+
 def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     ratios = secrets.train(secrets.sample_tokens(spark))
     found = secrets.scan(read_table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long"), "text"), ratios)
@@ -102,6 +107,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_warc": op6_warc,
     "op7_language_id": op7_language_id,
     "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
+    "op9_line_dedup": op9_line_dedup,
     "op10_secret_scans": op10_secret_scans,
 }
 
