@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,6 +58,18 @@ class Scratch:
             p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+#: Arrow batches between Spark and Python hold about so many bytes, however long the texts.
+BATCH_BYTES = 2 << 20
+
+
+def map_batches(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | T.StructType) -> DataFrame:
+    """df.mapInArrow(f, schema) with batches of BATCH_BYTES, unless the session sets a size of its own."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if key not in conf.getAll:
+        conf.set(key, str(BATCH_BYTES))
+    return df.mapInArrow(f, schema)
+
+
 def octets(text: Column) -> Column:
     """The text's UTF-8 bytes; null counts as empty."""
     return F.encode(F.coalesce(text, F.lit("")), "UTF-8")
@@ -64,11 +79,26 @@ def octets(text: Column) -> Column:
 MOST_TOLD = 500_000
 
 
+def told(rows: DataFrame, weight: Column | None = None) -> DataFrame:
+    """rows, a table that is cheap to read, marked for telling to every task if their number, or the sum of weight, is within MOST_TOLD."""
+    n = rows.agg(F.count("*") if weight is None else F.coalesce(F.sum(weight), F.lit(0))).first()[0]
+    return F.broadcast(rows) if n <= MOST_TOLD else rows
+
+
+def match_rows(docs: DataFrame, rows: DataFrame, how: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs joined (left_semi or left_anti) to rows (doc_id, h) by id and text's xxhash64. Null ids are equal to each other, null text to empty."""
+    own = uuid.uuid4().hex  # no name of docs
+    right = rows.select(F.col("doc_id").alias(f"d{own}"), F.col("h").alias(f"h{own}"))
+    same_id = F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col(f"d{own}"))
+    return docs.join(told(right), same_id & (text_hash(text_col) == F.col(f"h{own}")), how)
+
+
+def text_hash(text_col: str = "text") -> Column:
+    return F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit("")))
+
+
 def without_rows(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the rows whose id and text's xxhash64 are in gone (doc_id, h), a table that is cheap to count. Null ids are equal to each other, null text to empty."""
-    gone = gone.select(F.col("doc_id").alias("__d"), F.col("h").alias("__h")).distinct()
-    told = F.broadcast(gone) if gone.count() <= MOST_TOLD else gone
-    return docs.join(told, F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("__d")) & (F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))) == F.col("__h")), "left_anti")
+    return match_rows(docs, gone, "left_anti", id_col, text_col)
 
 
 def partitions_for(rows: int, each: int) -> int:

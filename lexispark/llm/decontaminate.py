@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import ngrams
-from .common import Scratch, without_rows
+from .common import Scratch, map_batches, without_rows
 
 #: Bytes of item texts that one pass over the documents takes along.
 BLOCK_BYTES = 32 << 20
@@ -28,8 +28,8 @@ BLOCK_BYTES = 32 << 20
 class ItemIndex:
     """Sketches and shingle sets of a block of items."""
 
-    def __init__(self, ids: list[int], texts: list[str | None], k: int, percent: int):
-        self.ids, self.k, self.percent = np.array(ids, dtype=np.int64), k, percent
+    def __init__(self, ids: list[int | None], texts: list[str | None], k: int, percent: int):
+        self.ids, self.k, self.percent = pa.array(ids, pa.int64()), k, percent
         column = pa.array([t or "" for t in texts], pa.string())
         self.sets = list(ngrams.shingle_sets(column, k, ngrams.NON_ALNUM))
         self.sizes = np.array([len(s) for s in self.sets], dtype=np.int64)
@@ -71,7 +71,7 @@ class ItemIndex:
         return out
 
 
-def _blocks(items: DataFrame) -> Iterator[tuple[list[int], list[str | None]]]:
+def _blocks(items: DataFrame) -> Iterator[tuple[list[int | None], list[str | None]]]:
     """The items, in blocks of BLOCK_BYTES; the driver holds one block at a time."""
     total = items.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
     n = max(1, -(-2 * total // BLOCK_BYTES))
@@ -116,11 +116,11 @@ def contained_items(docs: DataFrame, items: DataFrame, k: int = 5, percent: int
                     at, item, n = (np.array(x, dtype=np.int64) for x in zip(*rows, strict=True))
                     size = index.sizes[item]
                     yield pa.RecordBatch.from_arrays(
-                        [b.column("doc_id").take(pa.array(at)), b.column("h").take(pa.array(at)), pa.array(index.ids[item]), pa.array(size), pa.array(n), pa.array(n / size)],
+                        [b.column("doc_id").take(pa.array(at)), b.column("h").take(pa.array(at)), index.ids.take(pa.array(item)), pa.array(size), pa.array(n), pa.array(n / size)],
                         names=["doc_id", "h", "item_id", "item_shingles", "shared_shingles", "containment"],
                     )
 
-        found = docs.mapInArrow(search, schema)
+        found = map_batches(docs, search, schema)
         out = found if out is None else out.union(found)
     return spark.createDataFrame([], schema) if out is None else out
 

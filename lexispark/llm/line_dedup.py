@@ -8,6 +8,7 @@ across documents are dropped from all documents but the first that has them.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import ngrams
-from .common import Scratch
+from .common import Scratch, map_batches, text_hash, told
 
 #: Leading tokens in the tree, below the level of token counts.
 DEPTH = 3
@@ -76,7 +77,7 @@ def _lines(docs: DataFrame) -> DataFrame:
                 row = lo + x["text"][keep]
                 yield pa.RecordBatch.from_arrays([ids.take(pa.array(row)), pa.array(h[row]), *(_take_long(x[c][keep]) for c in ("line", "leaf", "masked"))], names=["doc_id", "h", "line", "leaf", "masked"])
 
-    return docs.mapInArrow(parse, "doc_id long, h long, line long, leaf long, masked long")
+    return map_batches(docs, parse, "doc_id long, h long, line long, leaf long, masked long")
 
 
 def _leaf_bitmap(leaves: DataFrame) -> np.ndarray:
@@ -108,7 +109,7 @@ def _tokens(docs: DataFrame, bitmap: np.ndarray) -> DataFrame:
                 flat = (flat & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)
                 yield pa.RecordBatch.from_arrays([*(_take_long(x[c][keep]) for c in ("leaf", "masked")), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))], names=["leaf", "masked", "tokens"])
 
-    return docs.select("text").mapInArrow(parse, "leaf long, masked long, tokens array<int>")
+    return map_batches(docs.select("text"), parse, "leaf long, masked long, tokens array<int>")
 
 
 def recurring_lines(docs: DataFrame, scratch: Scratch) -> DataFrame:
@@ -147,14 +148,16 @@ def drop_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
     docs = docs.drop("n_lines", "n_dropped")
     text = F.col(f"`{text_col}`")
     keyed = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("h"), F.coalesce(text, F.lit("")).alias("text"))
-    drop = recurring_lines(keyed, scratch).groupBy("h").agg(F.collect_set(F.col("line").cast("int")).alias("__lines"))
-    drop = Scratch(docs.sparkSession, "lines").table(drop.withColumnRenamed("h", "__h"), "drop", keep=True)
+    own = uuid.uuid4().hex  # no name of docs
+    h, lines = f"h{own}", f"lines{own}"
+    drop = recurring_lines(keyed, scratch).groupBy(F.col("h").alias(h)).agg(F.collect_set(F.col("line").cast("int")).alias(lines))
+    drop = Scratch(docs.sparkSession, "lines").table(drop, "drop", keep=True)
     scratch.drop()
-    kept = docs.join(drop, F.xxhash64(F.coalesce(text, F.lit(""))) == F.col("__h"), "left")
+    kept = docs.join(told(drop, F.size(lines) + 1), text_hash(text_col) == F.col(h), "left")
     split = F.split(text, "\n", -1)
-    left = F.when(F.col("__lines").isNull(), text).otherwise(F.array_join(F.filter(split, lambda _, i: ~F.array_contains("__lines", i)), "\n"))
+    left = F.when(F.col(lines).isNull(), text).otherwise(F.array_join(F.filter(split, lambda _, i: ~F.array_contains(lines, i)), "\n"))
     return kept.select(
         *(left.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns),
         F.coalesce(F.size(split), F.lit(0)).cast("long").alias("n_lines"),
-        F.coalesce(F.size("__lines"), F.lit(0)).cast("long").alias("n_dropped"),
+        F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_dropped"),
     )
