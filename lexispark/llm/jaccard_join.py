@@ -8,34 +8,37 @@ and lose no link:
 * At similarity t, two sets of which the larger has n shingles share at least one
   of the first n - ceil(t n) + 1 of each in any order common to all. The order here puts
   frequent shingles last, so a first shingle has few documents.
-* Each first shingle links its documents to one hub document, where exact counts allow. First shingles whose
+* Each first shingle links its documents to one hub document, that which has the fewest shingles before it, where exact counts allow. First shingles whose
   documents are then all in one component are done with; so a group of near copies costs
   a comparison for each, not for each pair.
 * Of the others, pairs of different components that the sizes allow are compared.
 
-Overlaps are counted in blocks of n-gram columns: after each block, pairs are discarded whose count can
-no longer reach the bound that their sizes set. Frequencies steer the work only; results are exact.
+The columns are in blocks. A vertex carries its number of shingles in each block, and a pair is discarded
+unless the smaller numbers add up to the overlap that its sizes call for; what remains is multiplied
+block by block, and a pair leaves as soon as its count can't reach that bound any more.
+Frequencies steer the work only; results are exact.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import itertools
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import ngrams
-from .common import Scratch
+from .common import Scratch, map_batches, match_rows, told, without_rows
 from .components import connected_components
 
 #: Most frequent shingles that tasks get to know; their least frequency rises until they are that few.
 MOST_FREQUENT = 1 << 20
-#: A shingle in fewer documents' first shingles isn't called frequent.
-LEAST_FREQUENCY = 32
-#: N-gram columns are taken in so many blocks.
-COLUMN_BLOCKS = 8
+#: A shingle that was counted less often isn't called frequent. A task's counters, and shingles that it counts with them.
+LEAST_FREQUENCY, COUNTERS, WINDOW = 32, 1 << 24, 4 << 20
+#: The product takes n-gram columns in so many blocks; vertices carry counts for more, narrower ones.
+COLUMN_BLOCKS, COUNTED_BLOCKS = 8, 128
 
 
 def _first(n: int, percent: int) -> int:
@@ -49,17 +52,34 @@ def _signature(s: np.ndarray) -> int:
         return int(ngrams.finalise(x[:1] + x[1:2] * np.uint64(3) + x[2:] * np.uint64(7)).view(np.int64)[0])
 
 
-def frequent_shingles(docs: DataFrame, k: int, percent: int, scratch: Scratch) -> np.ndarray:
-    """Sorted hashes of shingles that are among the smallest of many documents; MOST_FREQUENT at most."""
+def frequent_shingles(docs: DataFrame, k: int, scratch: Scratch) -> np.ndarray:
+    """Sorted hashes of shingles of many documents; MOST_FREQUENT at most.
 
-    def smallest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            parts = [s[: _first(len(s), percent)] for s in ngrams.shingle_sets(b.column(0), k) if len(s)]
-            if parts:
-                token, n = np.unique(np.concatenate(parts), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(n.astype(np.int64))], names=["token", "n"])
+    Tasks see all shingles of all documents. Small counters, which shingles share by their hashes, tell those
+    that were seen twice before, and only these are passed on, with how often they are seen from then on; so rare shingles,
+    nearly all, don't leave their task. The counters begin anew after WINDOW shingles.
+    """
 
-    counts = docs.select("text").mapInArrow(smallest, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    def repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, size = np.zeros(COUNTERS, dtype=np.uint8), 0
+        for b in batches:
+            tokens, numbers = [], []
+            sets = ngrams.shingle_sets(b.column(0), k)
+            while some := list(itertools.islice(sets, 64)):
+                token, n = np.unique(np.concatenate(some), return_counts=True)
+                at = (token >> np.uint64(20)).astype(np.int64) % COUNTERS
+                before = seen[at]
+                again = before + n > 2
+                tokens.append(token[again])
+                numbers.append(n[again])
+                seen[at] = np.minimum(before + n, 255)
+                size += len(token)
+                if size >= WINDOW:
+                    seen[:], size = 0, 0
+            if tokens:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(numbers).astype(np.int64))], names=["token", "n"])
+
+    counts = map_batches(docs.select("text"), repeated, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
     least = LEAST_FREQUENCY
     found = scratch.table(counts.where(F.col("n") >= least), "frequent")
     while found.where(F.col("n") >= least).count() > MOST_FREQUENT:
@@ -68,16 +88,17 @@ def frequent_shingles(docs: DataFrame, k: int, percent: int, scratch: Scratch) -
 
 
 def _described(docs: DataFrame, k: int, percent: int, frequent: np.ndarray) -> DataFrame:
-    """(doc_id, h, n, v, head): the set's size and signature, and its first shingles in the common order."""
+    """(doc_id, h, n, v, blocks, head): the set's size and signature, its counts by block, and its first shingles in the common order."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot = shared.value
         for b in batches:
-            sizes, signs, heads = [], [], []
+            sizes, signs, heads, blocks = [], [], [], []
             for s in ngrams.shingle_sets(b.column("text"), k):
                 sizes.append(len(s))
                 signs.append(_signature(s) if len(s) else None)
+                blocks.append(block_counts(s))
                 if len(s) and len(hot):
                     at = np.minimum(np.searchsorted(hot, s), len(hot) - 1)
                     is_hot = hot[at] == s
@@ -86,18 +107,57 @@ def _described(docs: DataFrame, k: int, percent: int, frequent: np.ndarray) -> D
             flat = np.concatenate(heads) if heads else np.zeros(0, dtype=np.uint64)
             at = np.concatenate([[0], np.cumsum([len(x) for x in heads])]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), b.column("h"), pa.array(sizes, pa.int64()), pa.array(signs, pa.int64()), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(flat.view(np.int64)))],
-                names=["doc_id", "h", "n", "v", "head"],
+                [b.column("doc_id"), b.column("h"), pa.array(sizes, pa.int64()), pa.array(signs, pa.int64()), pa.array(blocks, pa.binary()), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(flat.view(np.int64)))],
+                names=["doc_id", "h", "n", "v", "blocks", "head"],
             )
 
-    return docs.select("doc_id", "h", "text").mapInArrow(describe, "doc_id long, h long, n long, v long, head array<long>")
+    return map_batches(docs.select("doc_id", "h", "text"), describe, "doc_id long, h long, n long, v long, blocks binary, head array<long>")
+
+
+def block_counts(s: np.ndarray) -> bytes:
+    """A set's numbers of shingles in COUNTED_BLOCKS blocks of columns, a byte each; 255 stands for that or more."""
+    return np.minimum(np.bincount((s >> np.uint64(64 - COUNTED_BLOCKS.bit_length() + 1)).astype(np.int64), minlength=COUNTED_BLOCKS), 255).astype(np.uint8).tobytes()
+
+
+def least_overlap(nl: np.ndarray, nr: np.ndarray, percent: int) -> np.ndarray:
+    """The overlap i that two sizes call for: 100 i >= percent (nl + nr - i)."""
+    return -(-percent * (nl + nr) // (100 + percent))
+
+
+def _allowed(percent: int) -> Callable[..., Column]:
+    """Whether sizes and places of a shared first shingle allow a link.
+
+    The sets share nothing before their first shared shingle, so what follows it, itself included, bounds the overlap. A
+    linked pair is allowed where it meets first, if not at every shingle that it shares.
+    """
+
+    def allowed(n: str, place: str, n2: str, place2: str) -> Column:
+        most = F.least(F.col(n) - F.col(place), F.col(n2) - F.col(place2))
+        return most * (100 + percent) >= (F.col(n) + F.col(n2)) * percent
+
+    return allowed
+
+
+def _possible(pairs: DataFrame, where: DataFrame, percent: int) -> DataFrame:
+    """Of pairs (a, b), those whose sizes and counts by block allow a link."""
+    side = lambda x: where.select(F.col("v").alias(x), F.col("n").alias(f"n_{x}"), F.col("blocks").alias(f"blocks_{x}"))
+
+    def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                l, r = (np.frombuffer(b"".join(b.column(c).to_pylist()), dtype=np.uint8).reshape(-1, COUNTED_BLOCKS) for c in ("blocks_a", "blocks_b"))
+                most = np.minimum(l, r).sum(axis=1, dtype=np.int64)
+                open_ended = ((l == 255) & (r == 255)).any(axis=1)
+                ok = pa.array(open_ended | (most >= least_overlap(b.column("n_a").to_numpy(), b.column("n_b").to_numpy(), percent)))
+                yield pa.RecordBatch.from_arrays([b.column("a").filter(ok), b.column("b").filter(ok)], names=["a", "b"])
+
+    return map_batches(pairs.join(side("a"), "a").join(side("b"), "b"), bound, "a long, b long")
 
 
 def overlaps(left: list[np.ndarray], right: list[np.ndarray], percent: int) -> np.ndarray:
     """Which pairs of sets reach the similarity: the counts add up over blocks of columns, and a pair leaves when its bound is out of reach."""
     nl, nr = np.array([len(x) for x in left]), np.array([len(x) for x in right])
-    # 100 i >= percent (nl + nr - i), so i >= percent (nl + nr) / (100 + percent)
-    need = -(-percent * (nl + nr) // (100 + percent))
+    need = least_overlap(nl, nr, percent)
     alive = np.minimum(nl, nr) >= need
     pair_l, pair_r = np.repeat(np.arange(len(left)), nl), np.repeat(np.arange(len(right)), nr)
     all_l, all_r = (np.concatenate(x) if x else np.zeros(0, dtype=np.uint64) for x in (left, right))
@@ -117,11 +177,12 @@ def overlaps(left: list[np.ndarray], right: list[np.ndarray], percent: int) -> n
     return alive & (count >= need)
 
 
-def _verified(pairs: DataFrame, where: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+def _verified(pairs: DataFrame, where: DataFrame, docs: DataFrame, k: int, percent: int, scratch: Scratch) -> DataFrame:
     """Of pairs (a, b) of vertices, those that link."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("v")).distinct().join(where, "v")
+    pairs = scratch.table(_possible(pairs, where, percent), "possible")
+    wanted = scratch.table(pairs.select(F.explode(F.array("a", "b")).alias("v")).distinct().join(where, "v").select("v", F.col("doc_id").alias("__d"), F.col("h").alias("__h")), "wanted")
     texts = (
-        docs.join(wanted.withColumnsRenamed({"doc_id": "__d", "h": "__h"}), (F.col("h") == F.col("__h")) & F.col("doc_id").eqNullSafe(F.col("__d")))
+        docs.join(told(wanted), (F.col("h") == F.col("__h")) & F.col("doc_id").eqNullSafe(F.col("__d")))
         .groupBy("v")
         .agg(F.first("text").alias("text"))
     )
@@ -134,11 +195,11 @@ def _verified(pairs: DataFrame, where: DataFrame, docs: DataFrame, k: int, perce
                 ok = pa.array(overlaps(list(ngrams.shingle_sets(b.column("ta"), k)), list(ngrams.shingle_sets(b.column("tb"), k)), percent))
                 yield pa.RecordBatch.from_arrays([b.column("a").filter(ok), b.column("b").filter(ok)], names=["a", "b"])
 
-    return full.select("a", "b", "ta", "tb").mapInArrow(product, "a long, b long")
+    return map_batches(full.select("a", "b", "ta", "tb"), product, "a long, b long")
 
 
 def link_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, h, n_shingles, component_id) of each row of docs; h is xxhash64 of the text, null counting as empty.
+    """(doc_id, h, n_shingles, component_id, component) of each row of docs; h is xxhash64 of the text, null counting as empty.
 
     Rows link when their sets of k-word shingles have a Jaccard similarity of at least
     percent / 100; component_id is the smallest id that links reach, the row's own included.
@@ -151,32 +212,49 @@ def link_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     scratch = Scratch(spark, "jaccard")
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     docs = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("text"))
-    rows = scratch.table(_described(docs, k, percent, frequent_shingles(docs, k, percent, scratch)), "rows", keep=True)
-    sizes_allow = lambda a, b: (F.lit(100) * F.least(a, b) >= F.lit(percent) * F.greatest(a, b))
-
-    vertices = rows.where("n > 0").dropDuplicates(["v"])
-    postings = scratch.table(vertices.select("v", "n", "doc_id", "h", F.explode("head").alias("token")), "postings")
-    hubs = postings.groupBy("token").agg(F.count("*").alias("docs"), F.min(F.struct("n", "v")).alias("hub")).where("docs > 1")
-    postings = scratch.table(postings.join(hubs, "token"), "shared")
-    where = postings.select("v", "doc_id", "h").distinct()
-
+    rows = scratch.table(_described(docs, k, percent, frequent_shingles(docs, k, scratch)), "rows", keep=True)
+    vertices = scratch.table(rows.where("n > 0").dropDuplicates(["v"]), "vertices")
+    where = vertices.select("v", "n", "blocks", "doc_id", "h")
+    postings = vertices.select(F.posexplode("head").alias("place", "token"), "v", "n")
+    repeated = postings.groupBy("token").agg(F.count("*").alias("docs")).where("docs > 1")
+    postings = scratch.table(postings.join(repeated, "token"), "postings")
+
+    allowed = _allowed(percent)
     ordered = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-    star = scratch.table(postings.where((F.col("v") != F.col("hub.v")) & sizes_allow(F.col("n"), F.col("hub.n"))).select(*ordered(F.col("v"), F.col("hub.v"))).distinct(), "star")
-    links = scratch.table(_verified(star, where, docs, k, percent), "star-links")
+    hubs = postings.groupBy("token").agg(F.min(F.struct("place", "n", "v")).alias("hub"))
+    star = postings.join(hubs, "token").where((F.col("v") != F.col("hub.v")) & allowed("n", "place", "hub.n", "hub.place")).select(*ordered(F.col("v"), F.col("hub.v")))
+    star = scratch.table(star.distinct(), "star")
+    links = scratch.table(_verified(star, where, docs, k, percent, scratch), "star-links")
     labels = connected_components(links, scratch)
 
-    wide = postings.where("docs > 2").select("token", "v", "n").join(labels, "v", "left").withColumn("label", F.coalesce("label", "v"))
+    wide = postings.where("docs > 2").select("token", "v", "n", "place").join(labels, "v", "left").withColumn("label", F.coalesce("label", "v"))
     open_tokens = wide.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("token")
     left = scratch.table(wide.join(open_tokens, "token"), "open")
-    right = left.select("token", *(F.col(c).alias(f"{c}2") for c in ("v", "n", "label")))
-    more = left.join(right, "token").where((F.col("v") < F.col("v2")) & (F.col("label") != F.col("label2")) & sizes_allow(F.col("n"), F.col("n2")))
-    pairs = scratch.table(more.select(F.col("v").alias("a"), F.col("v2").alias("b")).distinct().join(star, ["a", "b"], "left_anti"), "pairs")
-    more_links = scratch.table(_verified(pairs, where, docs, k, percent), "more-links")
+    right = left.select("token", *(F.col(c).alias(f"{c}2") for c in ("v", "n", "place", "label")))
+    more = left.join(right, "token").where((F.col("v") < F.col("v2")) & (F.col("label") != F.col("label2")) & allowed("n", "place", "n2", "place2"))
+    pairs = more.select(F.col("v").alias("a"), F.col("v2").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
+    more_links = scratch.table(_verified(pairs, where, docs, k, percent, scratch), "more-links")
     if more_links.limit(1).count():
         labels = connected_components(links.union(more_links), scratch)
     labels = Scratch(spark, "jaccard").table(labels, "labels", keep=True)
     scratch.drop()
 
     placed = rows.select("doc_id", "h", "n", "v").join(labels, "v", "left").withColumn("c", F.coalesce("label", "v"))
-    least = placed.where("c is not null").groupBy("c").agg(F.min("doc_id").alias("least"))
-    return placed.join(least, "c", "left").select("doc_id", "h", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
+    # Written, so that the join below has exchanges of its own, which Spark splits where a component is large.
+    least = Scratch(spark, "jaccard").table(placed.where("c is not null").groupBy("c").agg(F.min("doc_id").alias("least")), "least", keep=True)
+    return placed.join(least, "c", "left").select("doc_id", "h", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"), F.col("c").alias("component"))
+
+
+def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """docs (doc_id, text and other columns) with one row of each component: the smallest doc_id's, a null one being smallest, then the smallest h's.
+
+    Of rows with the same id and text one stays. Rows without words all stay.
+    """
+    placed = Scratch(docs.sparkSession, "jaccard").table(link_components(docs, k, percent).where("component is not null").select("doc_id", "h", "component"), "placed", keep=True)
+    best = placed.groupBy("component").agg(F.min(F.struct("doc_id", "h")).alias("best"))
+    row = F.struct("doc_id", "h")
+    left = without_rows(docs, placed.join(best, "component").where(~row.eqNullSafe(F.col("best"))).select("doc_id", "h"))
+    repeated = placed.groupBy("doc_id", "h").count().where("count > 1").select("doc_id", "h")
+    if repeated.limit(1).count():  # rows with the same id and text
+        left = without_rows(left, repeated).unionByName(match_rows(left, repeated, "left_semi").dropDuplicates(["doc_id", "text"]))
+    return left

@@ -43,7 +43,7 @@ _powers: dict[str, np.ndarray] = {}
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse, at least n of each."""
     if len(_powers.get("up", ())) < n:
-        n = max(1 << 20, 1 << (n - 1).bit_length())
+        n = max(1 << 18, 1 << (n - 1).bit_length())
         for name, b in (("up", _BASE), ("down", _INVERSE)):
             p = np.full(n, _U(b))
             p[0] = 1
@@ -51,7 +51,7 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers["up"], _powers["down"]
 
 
-def chunks(column: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def chunks(column: pa.Array, most: int = 1 << 17) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, row after the last, bytes, offsets) of runs of whole texts of about `most` bytes; null counts as empty."""
     if column.null_count:
         column = column.fill_null("")
@@ -120,7 +120,7 @@ def shingle_hashes(words: np.ndarray, starts: np.ndarray, k: int, short: bool =
     return out, at
 
 
-def shingle_sets(column: pa.Array, k: int, separators: np.ndarray = SPACES, short: bool = True, most: int = 1 << 20) -> Iterator[np.ndarray]:
+def shingle_sets(column: pa.Array, k: int, separators: np.ndarray = SPACES, short: bool = True, most: int = 1 << 17) -> Iterator[np.ndarray]:
     """Each text's set of shingles as sorted hashes."""
     for _, _, data, offsets in chunks(column, most):
         words, starts = word_hashes(data, offsets, separators)

@@ -20,12 +20,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import ngrams
-from .common import Scratch, partitions_for
+from .common import Scratch, map_batches, partitions_for
 
 #: Pieces in a group, about.
 GROUP_PIECES = 16384
 #: Words whose ids a worker remembers; beyond that it starts anew.
-REMEMBERED = 1 << 20
+REMEMBERED = 1 << 19
 
 _SPACE, _ALNUM, _LETTER, _MARK = (np.zeros(256, dtype=bool) for _ in range(4))
 _SPACE[list(b" \n")] = True
@@ -194,7 +194,7 @@ def cut(docs: DataFrame, tokenizer: str, closing_id: int, length: int, id_col: s
                 )
 
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    return rows.mapInArrow(pieces, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, salt long")
+    return map_batches(rows, pieces, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, salt long")
 
 
 class CapacityTree:
