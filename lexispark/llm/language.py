@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import ngrams
+from .common import map_batches
 
 LENGTHS = (1, 2, 3)
 #: The fit sees about so many rows of each language, and so many languages, the most frequent ones, at most.
@@ -142,7 +143,7 @@ def predict(docs: DataFrame, model: KernelModel, text_col: str = "text") -> Data
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(preds, pa.string()), pa.array(scores, pa.float64())], names=[*names, "lang_pred", "score"])
 
     schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return docs.mapInArrow(score, schema)
+    return map_batches(docs, score, schema)
 
 
 _ASCII_LETTER = np.array([chr(b).isalpha() and b < 128 for b in range(256)])

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, map_batches
 
 #: Samples in an image's row; payloads are padded with bytes 0 to a positive multiple of it.
 WIDTH = 64
@@ -102,7 +102,7 @@ def parse_sequences(pages: DataFrame, id_col: str = "page_id", html_col: str = "
                 b = whole.slice(lo, 256)
                 yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([_Sequence.of(h) for h in b.column("html").to_pylist()], kind)], names=["id", "elements"])
 
-    return pages.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{html_col}`").alias("html")).mapInArrow(parse, f"id long, elements {ELEMENTS}")
+    return map_batches(pages.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{html_col}`").alias("html")), parse, f"id long, elements {ELEMENTS}")
 
 
 def image_bytes(payload: bytes) -> bytes:
@@ -140,7 +140,7 @@ def store_payloads(payloads: DataFrame, scratch: Scratch) -> DataFrame:
                 data = [(t or "").encode() for t in b.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([b.column("digest"), pa.array(map(len, data), pa.int64()), pa.array(map(image_bytes, data), pa.binary())], names=["digest", "n_bytes", "media"])
 
-    return scratch.table(payloads.select("digest", "text").mapInArrow(store, "digest string, n_bytes long, media binary"), "payloads", keep=True)
+    return scratch.table(map_batches(payloads.select("digest", "text"), store, "digest string, n_bytes long, media binary"), "payloads", keep=True)
 
 
 def described(store: DataFrame) -> DataFrame:
@@ -158,7 +158,7 @@ def described(store: DataFrame) -> DataFrame:
                 columns = [pa.array(x, k) for x, k in zip(zip(*rows, strict=True), (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)]
                 yield pa.RecordBatch.from_arrays([b.column("digest"), b.column("n_bytes"), *columns], names=["digest", "n_bytes", *FEATURES])
 
-    rows = store.mapInArrow(read, "digest string, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    rows = map_batches(store, read, "digest string, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
     return rows.groupBy("digest").agg(*(F.max(c).alias(c) for c in ("n_bytes", *FEATURES)))
 
 

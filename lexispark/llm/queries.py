@@ -111,4 +111,40 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_secret_scans": op10_secret_scans,
 }
 
-ORACLE: dict[str, str] = {}
+_PROBE_SQL = PROBE_TEXT.replace("'", "''")
+ORACLE: dict[str, str] = {
+    "op2_chat_formatting": rf"""
+        WITH told AS (
+            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL SELECT {PROBE_CONV}, 0, 'user', '{_PROBE_SQL}' UNION ALL SELECT {PROBE_CONV}, 1, 'assistant', '{_PROBE_SQL}'
+        ), marked AS (
+            SELECT *, length(regexp_replace(text, '(\\*)(### |</turn>|<next/>)', '\\\1\2', 'g')) AS shielded,
+                lag(role) OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS before
+            FROM told
+        )
+        SELECT CAST(conv_id AS BIGINT) AS conv_id, count(*) AS n_turns,
+            sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+            CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+            sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+            CAST(sum(shielded + 9 + CASE WHEN before IS NULL OR before <> role THEN length(role) + 6 ELSE 0 END) AS BIGINT) AS formatted_chars
+        FROM marked GROUP BY conv_id""",
+    "op4_decontamination": """
+        WITH told AS (
+            SELECT doc_id AS id, FALSE AS item, text FROM documents UNION ALL SELECT item_id, TRUE, text FROM benchmark
+        ), words AS (
+            SELECT id, item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS w FROM told
+        ), shingles AS (
+            SELECT DISTINCT id, item, w[i : i + 4] AS s FROM (SELECT id, item, w, unnest(range(1, len(w) - 3)) AS i FROM words) AS p
+        ), sizes AS (
+            SELECT id, count(*) AS n FROM shingles WHERE item GROUP BY id
+        )
+        SELECT d.id AS doc_id, i.id AS item_id, z.n AS item_shingles, count(*) AS shared_shingles, CAST(count(*) AS DOUBLE) / z.n AS containment
+        FROM shingles AS i JOIN shingles AS d ON i.s = d.s JOIN sizes AS z ON z.id = i.id
+        WHERE i.item AND NOT d.item GROUP BY d.id, i.id, z.n HAVING 100 * count(*) >= 80 * z.n""",
+    "op6_warc": """
+        WITH told AS (SELECT page_id, coalesce(html, '') AS html FROM pages), first AS (SELECT html, min(page_id) AS least FROM told GROUP BY html)
+        SELECT page_id, CAST(strlen(t.html) AS BIGINT) AS payload_bytes, sha256(t.html) AS payload_digest,
+            CASE WHEN strlen(t.html) >= 100 AND page_id <> least THEN 'revisit' ELSE 'response' END AS record_type,
+            CASE WHEN strlen(t.html) >= 100 AND page_id <> least THEN least END AS refers_to
+        FROM told AS t JOIN first AS f ON t.html = f.html""",
+}

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch
+from .common import Scratch, map_batches
 
 ROUNDS = 6
 
@@ -101,7 +101,7 @@ def assign_shards(df: DataFrame, keys: list[str], shards: int, seed: int = 0) ->
             new = [pa.array(row), pa.array((place % np.uint64(shards)).astype(np.int32)), pa.array((place // np.uint64(shards)).astype(np.int64))]
             yield pa.RecordBatch.from_arrays([b.column(f.name) for f in fields] + new, names=schema.names)
 
-    return laid.mapInArrow(number, schema)
+    return map_batches(laid, number, schema)
 
 
 def row_at(shard: int, slot: int, rows: int, shards: int, seed: int = 0) -> int:

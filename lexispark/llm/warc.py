@@ -18,7 +18,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, map_batches
 
 #: Fixed values of the format: the skippable frame that holds a dictionary.
 SKIPPABLE_MAGIC = 0x184D2A5D
@@ -139,7 +139,7 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
         if records:
             yield archive()
 
-    return scratch.table(marked.mapInArrow(write, "archive binary, records long, offsets array<long>"), "archives", keep=True)
+    return scratch.table(map_batches(marked, write, "archive binary, records long, offsets array<long>"), "archives", keep=True)
 
 
 def read_records(archives: DataFrame) -> DataFrame:
@@ -170,7 +170,7 @@ def read_records(archives: DataFrame) -> DataFrame:
         names = ("page_id", "url", "record_type", "payload_bytes", "payload_digest", "refers_to", "html")
         return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
-    return archives.select("archive").mapInArrow(read, "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, html string")
+    return map_batches(archives.select("archive"), read, "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, html string")
 
 
 def export(archives: DataFrame, number: int, path: str) -> None:
