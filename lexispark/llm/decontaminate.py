@@ -22,7 +22,7 @@ from . import ngrams
 from .common import Scratch, map_batches, without_rows
 
 #: Bytes of item texts that one pass over the documents takes along.
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 8 << 20
 
 
 class ItemIndex:

@@ -11,7 +11,7 @@ and lose no link:
 * Each first shingle links its documents to one hub document, that which has the fewest shingles before it, where exact counts allow. First shingles whose
   documents are then all in one component are done with; so a group of near copies costs
   a comparison for each, not for each pair.
-* Of the others, pairs of different components that the sizes allow are compared.
+* Of the others, pairs of different components that the sizes allow are compared, at the first that they share of those with many documents.
 
 The columns are in blocks. A vertex carries its number of shingles in each block, and a pair is discarded
 unless the smaller numbers add up to the overlap that its sizes call for; what remains is multiplied
@@ -35,8 +35,10 @@ from .components import connected_components
 
 #: Most frequent shingles that tasks get to know; their least frequency rises until they are that few.
 MOST_FREQUENT = 1 << 20
+#: First shingles of so many documents are looked at in their order.
+MANY = 64
 #: A shingle that was counted less often isn't called frequent. A task's counters, and shingles that it counts with them.
-LEAST_FREQUENCY, COUNTERS, WINDOW = 32, 1 << 24, 4 << 20
+LEAST_FREQUENCY, COUNTERS, WINDOW = 32, 1 << 25, 4 << 20
 #: The product takes n-gram columns in so many blocks; vertices carry counts for more, narrower ones.
 COLUMN_BLOCKS, COUNTED_BLOCKS = 8, 128
 
@@ -55,9 +57,9 @@ def _signature(s: np.ndarray) -> int:
 def frequent_shingles(docs: DataFrame, k: int, scratch: Scratch) -> np.ndarray:
     """Sorted hashes of shingles of many documents; MOST_FREQUENT at most.
 
-    Tasks see all shingles of all documents. Small counters, which shingles share by their hashes, tell those
-    that were seen twice before, and only these are passed on, with how often they are seen from then on; so rare shingles,
-    nearly all, don't leave their task. The counters begin anew after WINDOW shingles.
+    Tasks see all shingles of all documents. A table of small counters, two for each hash, tells which were seen
+    before, and only these are passed on, with how often they are seen; so rare shingles, nearly all, don't leave
+    their task. The counters begin anew after WINDOW shingles.
     """
 
     def repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -67,12 +69,13 @@ def frequent_shingles(docs: DataFrame, k: int, scratch: Scratch) -> np.ndarray:
             sets = ngrams.shingle_sets(b.column(0), k)
             while some := list(itertools.islice(sets, 64)):
                 token, n = np.unique(np.concatenate(some), return_counts=True)
-                at = (token >> np.uint64(20)).astype(np.int64) % COUNTERS
-                before = seen[at]
-                again = before + n > 2
+                one, two = (token & np.uint64(COUNTERS - 1)).astype(np.int64), (token >> np.uint64(39)).astype(np.int64) % COUNTERS
+                before = np.minimum(seen[one], seen[two])
+                again = before + n > 1
                 tokens.append(token[again])
-                numbers.append(n[again])
-                seen[at] = np.minimum(before + n, 255)
+                numbers.append((n + (before == 1))[again])
+                for at in (one, two):
+                    seen[at] = np.minimum(seen[at] + n, 255)
                 size += len(token)
                 if size >= WINDOW:
                     seen[:], size = 0, 0
@@ -227,11 +230,19 @@ def link_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     links = scratch.table(_verified(star, where, docs, k, percent, scratch), "star-links")
     labels = connected_components(links, scratch)
 
-    wide = postings.where("docs > 2").select("token", "v", "n", "place").join(labels, "v", "left").withColumn("label", F.coalesce("label", "v"))
+    wide = postings.where("docs > 2").select("token", "docs", "v", "n", "place").join(labels, "v", "left").withColumn("label", F.coalesce("label", "v"))
     open_tokens = wide.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("token")
-    left = scratch.table(wide.join(open_tokens, "token"), "open")
-    right = left.select("token", *(F.col(c).alias(f"{c}2") for c in ("v", "n", "place", "label")))
-    more = left.join(right, "token").where((F.col("v") < F.col("v2")) & (F.col("label") != F.col("label2")) & allowed("n", "place", "n2", "place2"))
+    # At a shingle of many documents a pair is compared only if it is the first such one that they share, so once.
+    open_rows = scratch.table(wide.join(open_tokens, "token"), "open")
+    row = [F.col(c) for c in ("token", "v", "n", "label", "place")]
+    few = open_rows.where(F.col("docs") < MANY).select(*row, F.array().cast("array<bigint>").alias("before"))
+    own = open_rows.where(F.col("docs") >= MANY).groupBy("v", "n", "label").agg(F.sort_array(F.collect_list(F.struct("place", "token"))).alias("own"))
+    each = own.select("v", "n", "label", F.transform("own", lambda t: t["token"]).alias("tokens"), F.posexplode("own").alias("i", "t"))
+    many = each.select("t.token", "v", "n", "label", "t.place", F.slice("tokens", F.lit(1), F.col("i")).alias("before"))
+    left = scratch.table(few.unionByName(many), "ordered")
+    right = left.select("token", *(F.col(c).alias(f"{c}2") for c in ("v", "n", "label", "place", "before")))
+    differ = (F.col("v") < F.col("v2")) & (F.col("label") != F.col("label2")) & allowed("n", "place", "n2", "place2")
+    more = left.join(right, "token").where(differ & ~F.arrays_overlap("before", "before2"))
     pairs = more.select(F.col("v").alias("a"), F.col("v2").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
     more_links = scratch.table(_verified(pairs, where, docs, k, percent, scratch), "more-links")
     if more_links.limit(1).count():
@@ -250,8 +261,9 @@ def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
 
     Of rows with the same id and text one stays. Rows without words all stay.
     """
-    placed = Scratch(docs.sparkSession, "jaccard").table(link_components(docs, k, percent).where("component is not null").select("doc_id", "h", "component"), "placed", keep=True)
-    best = placed.groupBy("component").agg(F.min(F.struct("doc_id", "h")).alias("best"))
+    scratch = Scratch(docs.sparkSession, "jaccard")
+    placed = scratch.table(link_components(docs, k, percent).where("component is not null").select("doc_id", "h", "component"), "placed", keep=True)
+    best = scratch.table(placed.groupBy("component").agg(F.min(F.struct("doc_id", "h")).alias("best")), "best", keep=True)
     row = F.struct("doc_id", "h")
     left = without_rows(docs, placed.join(best, "component").where(~row.eqNullSafe(F.col("best"))).select("doc_id", "h"))
     repeated = placed.groupBy("doc_id", "h").count().where("count > 1").select("doc_id", "h")

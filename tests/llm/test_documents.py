@@ -61,6 +61,7 @@ def test_jaccard_components(spark, k, percent, clash):
 @pytest.mark.parametrize("seed", range(3))
 def test_jaccard_chains_and_hot_groups(spark, seed, monkeypatch):
     monkeypatch.setattr(jaccard_join, "LEAST_FREQUENCY", 4)
+    monkeypatch.setattr(jaccard_join, "MANY", 8)
     rng, rows = random.Random(seed), []
     text = [rng.choice(WORDS) for _ in range(60)]
     for i in range(60):  # a chain: neighbours link, its ends don't
@@ -132,7 +133,7 @@ def leaks(docs, items):
     return out
 
 
-@pytest.mark.parametrize("block", [32 << 20, 300])
+@pytest.mark.parametrize("block", [8 << 20, 300])
 @pytest.mark.parametrize("clash", [False, True])
 def test_leaks(spark, clash, block, monkeypatch):
     monkeypatch.setattr(decontaminate, "BLOCK_BYTES", block)
