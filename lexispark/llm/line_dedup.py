@@ -3,7 +3,7 @@
 Lines are parsed into a tree of fixed depth: the number of tokens, then the leading tokens, in which
 tokens with a digit count as variable. A leaf's lines are generalised: a token that few of the leaf's lines have at its
 place is variable too. What is left is the line's template. Templates that recur
-across documents are dropped from all documents but the first that has them.
+across documents, and lines that recur as they are, are dropped from all documents but the first that has them.
 """
 
 from __future__ import annotations
@@ -23,6 +23,8 @@ from .common import Scratch, map_batches, text_hash, told
 DEPTH = 3
 #: A template recurs if so many different texts have it. Shorter lines than so many tokens are left alone.
 LEAST_TEXTS, LEAST_TOKENS = 4, 4
+#: A line as it is (but for case and spaces between tokens) recurs if so many different texts have it.
+EXACT_TEXTS = 2
 #: Share of a template's tokens, in percent, that must not be variable.
 CONSTANT_PERCENT = 75
 #: Bits of the bitmap by which tasks tell leaves that recur from nearly all that don't. (What it lets through is joined exactly.)
@@ -34,7 +36,7 @@ _VARIABLE = np.uint64(0x5851F42D4C957F2D)
 
 
 def parse_lines(data: np.ndarray, offsets: np.ndarray, depth: int = DEPTH) -> dict[str, np.ndarray]:
-    """Lines of texts: text, line (its number there), n (tokens), leaf, masked (hash of the line with variables masked), tokens, starts."""
+    """Lines of texts: text, line (its number there), n (tokens), leaf, whole (hash of the line as it is), masked (hash of the line with variables masked), tokens, starts."""
     breaks = np.flatnonzero(data == 10) + 1
     edges = np.unique(np.concatenate([offsets[:-1][offsets[:-1] < offsets[1:]], breaks[breaks < len(data)], [len(data)]])) if len(data) else np.zeros(1, dtype=np.int64)
     # A text that ends in a line break has an empty last line, which is never looked at.
@@ -47,20 +49,22 @@ def parse_lines(data: np.ndarray, offsets: np.ndarray, depth: int = DEPTH) -> di
     # Digits by token: the token that begins last at or before a digit.
     s = np.flatnonzero(first)
     digits = np.flatnonzero(_DIGIT[data])
-    tokens = tokens.copy()
+    plain, tokens = tokens, tokens.copy()
     if len(digits):
         tokens[np.unique(np.searchsorted(s, digits, side="right") - 1)] = _VARIABLE
     n = np.diff(starts)
     text = np.searchsorted(offsets, edges[:-1], side="right") - 1
     line = np.arange(len(text)) - np.searchsorted(text, text, side="left")
     with np.errstate(over="ignore"):
-        place = np.arange(len(tokens)) - np.repeat(starts[:-1], n)
-        at = ngrams.finalise(tokens + place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-        sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(at)])
-        masked = ngrams.finalise(sums[starts[1:]] - sums[starts[:-1]] + n.astype(np.uint64))
+        place = (np.arange(len(tokens)) - np.repeat(starts[:-1], n)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        running = lambda x: np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(ngrams.finalise(x + place))])
+        line_hash = lambda sums: ngrams.finalise(sums[starts[1:]] - sums[starts[:-1]] + n.astype(np.uint64))
+        sums = running(tokens)
+        masked = line_hash(sums)
+        whole = line_hash(running(plain)) if len(digits) else masked
         upto = np.minimum(starts[:-1] + depth, starts[1:])
         leaf = ngrams.finalise((sums[upto] - sums[starts[:-1]]) * np.uint64(3) + n.astype(np.uint64))
-    return {"text": text, "line": line, "n": n, "leaf": leaf, "masked": masked, "tokens": tokens, "starts": starts}
+    return {"text": text, "line": line, "n": n, "leaf": leaf, "whole": whole, "masked": masked, "tokens": tokens, "starts": starts}
 
 
 def _take_long(x: np.ndarray) -> pa.Array:
@@ -75,9 +79,9 @@ def _lines(docs: DataFrame) -> DataFrame:
                 x = parse_lines(data, offsets)
                 keep = x["n"] >= LEAST_TOKENS
                 row = lo + x["text"][keep]
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(row)), pa.array(h[row]), *(_take_long(x[c][keep]) for c in ("line", "leaf", "masked"))], names=["doc_id", "h", "line", "leaf", "masked"])
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(row)), pa.array(h[row]), *(_take_long(x[c][keep]) for c in ("line", "leaf", "whole", "masked"))], names=["doc_id", "h", "line", "leaf", "whole", "masked"])
 
-    return map_batches(docs, parse, "doc_id long, h long, line long, leaf long, masked long")
+    return map_batches(docs, parse, "doc_id long, h long, line long, leaf long, whole long, masked long")
 
 
 def _leaf_bitmap(leaves: DataFrame) -> np.ndarray:
@@ -116,12 +120,16 @@ def recurring_lines(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """(doc_id, h, line) of lines to drop from docs (doc_id, h, text); h tells texts apart."""
     lines = scratch.table(_lines(docs), "lines")
 
-    def first_texts(df: DataFrame, key: str) -> DataFrame:
-        """(key, owner) of keys that LEAST_TEXTS different texts have; the owner is the text of the smallest doc_id."""
+    def first_texts(df: DataFrame, key: str, least: int) -> DataFrame:
+        """(key, texts, owner) of keys that `least` different texts have; the owner is the text of the smallest doc_id."""
         by_text = df.groupBy(key, "h").agg(F.min("doc_id").alias("doc_id"))
-        return by_text.groupBy(key).agg(F.count("*").alias("texts"), F.min(F.struct("doc_id", "h")).alias("first")).where(F.col("texts") >= LEAST_TEXTS).select(key, F.col("first.h").alias("owner"))
+        return by_text.groupBy(key).agg(F.count("*").alias("texts"), F.min(F.struct("doc_id", "h")).alias("first")).where(F.col("texts") >= least).select(key, "texts", F.col("first.h").alias("owner"))
 
-    exact = scratch.table(first_texts(lines, "masked"), "exact")
+    # Lines that are equal are equal when masked, so those that recur as they are are among these.
+    shared = scratch.table(first_texts(lines, "masked", min(EXACT_TEXTS, LEAST_TEXTS)), "shared")
+    again = scratch.table(lines.join(shared.select("masked"), "masked", "left_semi"), "again")
+    repeated = again.join(first_texts(again, "whole", EXACT_TEXTS), "whole").where("h <> owner").select("doc_id", "h", "line")
+    exact = shared.where(F.col("texts") >= LEAST_TEXTS).select("masked", "owner")
     rest = scratch.table(lines.join(exact, "masked", "left_anti"), "rest")
     # Leaves with enough lines that don't recur as they are.
     leaves = scratch.table(rest.select("leaf", "masked").distinct().groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_TEXTS).select("leaf"), "leaves")
@@ -132,9 +140,9 @@ def recurring_lines(docs: DataFrame, scratch: Scratch) -> DataFrame:
     constants = placed.join(constant, ["leaf", "place", "token"]).groupBy("leaf", "masked", "n").agg(F.count("*").alias("constants"), F.sum(F.xxhash64("place", "token").cast("decimal(38,0)")).alias("mark"))
     templates = constants.where(F.col("constants") * 100 >= F.col("n") * CONSTANT_PERCENT).select("masked", F.xxhash64("leaf", "mark").alias("template"))
     templated = scratch.table(rest.join(templates, "masked"), "templated")
-    general = first_texts(templated, "template")
-    drop = lines.join(exact, "masked").where("h <> owner").select("doc_id", "h", "line").union(templated.join(general, "template").where("h <> owner").select("doc_id", "h", "line"))
-    return drop.distinct()
+    general = first_texts(templated, "template", LEAST_TEXTS)
+    of_masked, of_template = (x.where("h <> owner").select("doc_id", "h", "line") for x in (again.join(exact, "masked"), templated.join(general, "template")))
+    return repeated.union(of_masked).union(of_template).distinct()
 
 
 def drop_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
