@@ -27,6 +27,9 @@ LEAST_TEXTS, LEAST_TOKENS = 4, 4
 EXACT_TEXTS = 2
 #: Share of a template's tokens, in percent, that must not be variable.
 CONSTANT_PERCENT = 75
+#: Share of a leaf's different lines, in percent, that have a token at its place if it isn't variable; and LEAST_TEXTS lines at least, as fewer tell nothing.
+#: A place has at most 100 / SHARE_PERCENT such tokens, so a leaf's templates don't grow in number with the corpus.
+SHARE_PERCENT = 5
 #: Bits of the bitmap by which tasks tell leaves that recur from nearly all that don't. (What it lets through is joined exactly.)
 LEAF_BITS = 1 << 22
 
@@ -130,16 +133,16 @@ def recurring_lines(docs: DataFrame, scratch: Scratch) -> DataFrame:
     again = scratch.table(lines.join(shared.select("masked"), "masked", "left_semi"), "again")
     repeated = again.join(first_texts(again, "whole", EXACT_TEXTS), "whole").where("h <> owner").select("doc_id", "h", "line")
     exact = shared.where(F.col("texts") >= LEAST_TEXTS).select("masked", "owner")
-    rest = scratch.table(lines.join(exact, "masked", "left_anti"), "rest")
-    # Leaves with enough lines that don't recur as they are.
-    leaves = scratch.table(rest.select("leaf", "masked").distinct().groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_TEXTS).select("leaf"), "leaves")
-    parsed = _tokens(docs, _leaf_bitmap(leaves)).join(leaves, "leaf", "left_semi").join(exact, "masked", "left_anti")
+    # Leaves with enough lines. Those that recur as they are take part: in a large corpus all lines of a template may.
+    leaves = scratch.table(lines.select("leaf", "masked").distinct().groupBy("leaf").agg(F.count("*").alias("lines")).where(F.col("lines") >= LEAST_TEXTS), "leaves")
+    parsed = _tokens(docs, _leaf_bitmap(leaves)).join(leaves, "leaf", "left_semi")
     parsed = scratch.table(parsed.groupBy("leaf", "masked").agg(F.first("tokens").alias("tokens")), "parsed")
     placed = parsed.select("leaf", "masked", F.size("tokens").alias("n"), F.posexplode("tokens").alias("place", "token"))
-    constant = placed.groupBy("leaf", "place", "token").agg(F.count("*").alias("have")).where(F.col("have") >= LEAST_TEXTS).select("leaf", "place", "token")
+    have = placed.groupBy("leaf", "place", "token").agg(F.count("*").alias("have")).where(F.col("have") >= LEAST_TEXTS)
+    constant = have.join(leaves, "leaf").where(F.col("have") * 100 >= F.col("lines") * SHARE_PERCENT).select("leaf", "place", "token")
     constants = placed.join(constant, ["leaf", "place", "token"]).groupBy("leaf", "masked", "n").agg(F.count("*").alias("constants"), F.sum(F.xxhash64("place", "token").cast("decimal(38,0)")).alias("mark"))
     templates = constants.where(F.col("constants") * 100 >= F.col("n") * CONSTANT_PERCENT).select("masked", F.xxhash64("leaf", "mark").alias("template"))
-    templated = scratch.table(rest.join(templates, "masked"), "templated")
+    templated = scratch.table(lines.join(templates, "masked"), "templated")
     general = first_texts(templated, "template", LEAST_TEXTS)
     of_masked, of_template = (x.where("h <> owner").select("doc_id", "h", "line") for x in (again.join(exact, "masked"), templated.join(general, "template")))
     return repeated.union(of_masked).union(of_template).distinct()

@@ -1,6 +1,7 @@
 """Rules of line dedup, stated with numbers of their own."""
 
 import collections
+import random
 
 import pytest
 from lexispark.llm import line_dedup
@@ -43,3 +44,16 @@ def test_no_line_of_four_words_stays_in_two_texts(spark):
     assert not repeats(alone, lambda w: len(w) >= 4)
     had, have = ({tuple(x.lower().split()) for _, t in some for x in t.split("\n")} for some in (rows, got.items()))
     assert {w for w in repeats(rows, lambda w: len(w) >= 4) if not any(any(c.isdigit() for c in x) for x in w)} <= have <= had | {()}
+
+
+def fields(n, seed=1):
+    """Documents of one line of twelve tokens, two of which, behind the leading ones, have a hundred values each, without digits."""
+    rng = random.Random(seed)
+    values = [[a + b + f for a in "bcdfghjklm" for b in "aeiouyzvwx"] for f in ("ton", "berg")]
+    return [(i, f"the visit of last year by {rng.choice(values[0])} to {rng.choice(values[1])} was noted here") for i in range(n)]
+
+
+@pytest.mark.parametrize("n", [50, 400, 1000, 10_000])
+def test_a_template_is_found_at_every_size(spark, n):
+    got = kept(spark, fields(n))
+    assert sum(bool(t) for t in got.values()) <= 0.05 * n
