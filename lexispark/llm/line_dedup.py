@@ -21,10 +21,12 @@ from .common import Scratch, map_batches, text_hash, told
 
 #: Leading tokens in the tree, below the level of token counts.
 DEPTH = 3
-#: A template recurs if so many different texts have it. Shorter lines than so many tokens are left alone.
+#: A template recurs if so many different texts have it. Shorter lines than so many tokens have no template.
 LEAST_TEXTS, LEAST_TOKENS = 4, 4
 #: A line as it is (but for case and spaces between tokens) recurs if so many different texts have it.
 EXACT_TEXTS = 2
+#: If it is short, of fewer than LEAST_TOKENS tokens and so many characters without spaces, it takes so many. (Scripts without spaces have long lines of one token.)
+LEAST_CHARS, SHORT_TEXTS = 24, 8
 #: Share of a template's tokens, in percent, that must not be variable.
 CONSTANT_PERCENT = 75
 #: Share of a leaf's different lines, in percent, that have a token at its place if it isn't variable; and LEAST_TEXTS lines at least, as fewer tell nothing.
@@ -39,7 +41,7 @@ _VARIABLE = np.uint64(0x5851F42D4C957F2D)
 
 
 def parse_lines(data: np.ndarray, offsets: np.ndarray, depth: int = DEPTH) -> dict[str, np.ndarray]:
-    """Lines of texts: text, line (its number there), n (tokens), leaf, whole (hash of the line as it is), masked (hash of the line with variables masked), tokens, starts."""
+    """Lines of texts: text, line (its number there), n (tokens), chars (without spaces), leaf, whole (hash of the line as it is), masked (hash of the line with variables masked), tokens, starts."""
     breaks = np.flatnonzero(data == 10) + 1
     edges = np.unique(np.concatenate([offsets[:-1][offsets[:-1] < offsets[1:]], breaks[breaks < len(data)], [len(data)]])) if len(data) else np.zeros(1, dtype=np.int64)
     # A text that ends in a line break has an empty last line, which is never looked at.
@@ -52,6 +54,8 @@ def parse_lines(data: np.ndarray, offsets: np.ndarray, depth: int = DEPTH) -> di
     # Digits by token: the token that begins last at or before a digit.
     s = np.flatnonzero(first)
     digits = np.flatnonzero(_DIGIT[data])
+    begun = np.concatenate([[0], np.cumsum(inside & (data & 0xC0 != 0x80))])
+    chars = begun[edges[1:]] - begun[edges[:-1]]
     plain, tokens = tokens, tokens.copy()
     if len(digits):
         tokens[np.unique(np.searchsorted(s, digits, side="right") - 1)] = _VARIABLE
@@ -67,7 +71,7 @@ def parse_lines(data: np.ndarray, offsets: np.ndarray, depth: int = DEPTH) -> di
         whole = line_hash(running(plain)) if len(digits) else masked
         upto = np.minimum(starts[:-1] + depth, starts[1:])
         leaf = ngrams.finalise((sums[upto] - sums[starts[:-1]]) * np.uint64(3) + n.astype(np.uint64))
-    return {"text": text, "line": line, "n": n, "leaf": leaf, "whole": whole, "masked": masked, "tokens": tokens, "starts": starts}
+    return {"text": text, "line": line, "n": n, "chars": chars, "leaf": leaf, "whole": whole, "masked": masked, "tokens": tokens, "starts": starts}
 
 
 def _take_long(x: np.ndarray) -> pa.Array:
@@ -75,16 +79,22 @@ def _take_long(x: np.ndarray) -> pa.Array:
 
 
 def _lines(docs: DataFrame) -> DataFrame:
+    """Lines with a token. Those of fewer than LEAST_TOKENS have no leaf and aren't masked; least is the number of texts from which a line as it is recurs."""
+
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             h, ids = b.column("h").to_numpy(), b.column("doc_id")
             for lo, _, data, offsets in ngrams.chunks(b.column("text")):
                 x = parse_lines(data, offsets)
-                keep = x["n"] >= LEAST_TOKENS
+                few = x["n"] < LEAST_TOKENS
+                x["masked"] = np.where(few, x["whole"], x["masked"])
+                x["least"] = np.where(few & (x["chars"] < LEAST_CHARS), SHORT_TEXTS, EXACT_TEXTS)
+                keep = x["n"] > 0
                 row = lo + x["text"][keep]
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(row)), pa.array(h[row]), *(_take_long(x[c][keep]) for c in ("line", "leaf", "whole", "masked"))], names=["doc_id", "h", "line", "leaf", "whole", "masked"])
+                leaf = pa.array(x["leaf"][keep].view(np.int64), mask=few[keep])
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(row)), pa.array(h[row]), leaf, *(_take_long(x[c][keep]) for c in ("line", "whole", "masked", "least"))], names=["doc_id", "h", "leaf", "line", "whole", "masked", "least"])
 
-    return map_batches(docs, parse, "doc_id long, h long, line long, leaf long, whole long, masked long")
+    return map_batches(docs, parse, "doc_id long, h long, leaf long, line long, whole long, masked long, least long")
 
 
 def _leaf_bitmap(leaves: DataFrame) -> np.ndarray:
@@ -131,10 +141,10 @@ def recurring_lines(docs: DataFrame, scratch: Scratch) -> DataFrame:
     # Lines that are equal are equal when masked, so those that recur as they are are among these.
     shared = scratch.table(first_texts(lines, "masked", min(EXACT_TEXTS, LEAST_TEXTS)), "shared")
     again = scratch.table(lines.join(shared.select("masked"), "masked", "left_semi"), "again")
-    repeated = again.join(first_texts(again, "whole", EXACT_TEXTS), "whole").where("h <> owner").select("doc_id", "h", "line")
+    repeated = again.join(first_texts(again, "whole", EXACT_TEXTS), "whole").where("texts >= least and h <> owner").select("doc_id", "h", "line")
     exact = shared.where(F.col("texts") >= LEAST_TEXTS).select("masked", "owner")
     # Leaves with enough lines. Those that recur as they are take part: in a large corpus all lines of a template may.
-    leaves = scratch.table(lines.select("leaf", "masked").distinct().groupBy("leaf").agg(F.count("*").alias("lines")).where(F.col("lines") >= LEAST_TEXTS), "leaves")
+    leaves = scratch.table(lines.where("leaf is not null").select("leaf", "masked").distinct().groupBy("leaf").agg(F.count("*").alias("lines")).where(F.col("lines") >= LEAST_TEXTS), "leaves")
     parsed = _tokens(docs, _leaf_bitmap(leaves)).join(leaves, "leaf", "left_semi")
     parsed = scratch.table(parsed.groupBy("leaf", "masked").agg(F.first("tokens").alias("tokens")), "parsed")
     placed = parsed.select("leaf", "masked", F.size("tokens").alias("n"), F.posexplode("tokens").alias("place", "token"))
@@ -144,7 +154,7 @@ def recurring_lines(docs: DataFrame, scratch: Scratch) -> DataFrame:
     templates = constants.where(F.col("constants") * 100 >= F.col("n") * CONSTANT_PERCENT).select("masked", F.xxhash64("leaf", "mark").alias("template"))
     templated = scratch.table(lines.join(templates, "masked"), "templated")
     general = first_texts(templated, "template", LEAST_TEXTS)
-    of_masked, of_template = (x.where("h <> owner").select("doc_id", "h", "line") for x in (again.join(exact, "masked"), templated.join(general, "template")))
+    of_masked, of_template = (x.where("h <> owner").select("doc_id", "h", "line") for x in (again.where("leaf is not null").join(exact, "masked"), templated.join(general, "template")))
     return repeated.union(of_masked).union(of_template).distinct()
 
 

@@ -57,3 +57,14 @@ def fields(n, seed=1):
 def test_a_template_is_found_at_every_size(spark, n):
     got = kept(spark, fields(n))
     assert sum(bool(t) for t in got.values()) <= 0.05 * n
+
+
+def test_short_lines_and_scripts_without_spaces(spark):
+    passage = "この一節は空白を含まない長い行であり二つの文書に繰り返し現れるものである"
+    numbered = "第{}章ではこの一節とは別の長い行が空白なしで書かれているだけである"
+    rows = [(i, f"own words {'abcdefghi'[i]}\nAll rights reserved.\nPage {i}") for i in range(9)] + [(20 + i, f"{'abcdefg'[i]} own words\nThe end.") for i in range(7)]
+    rows += [(30 + i, f"mine {'ab'[i]}\n{passage}\n{numbered.format(i)}") for i in range(2)]
+    got = kept(spark, rows)
+    assert ["All rights reserved." in got[i] for i in range(9)] == [True] + [False] * 8
+    assert all("The end." in got[20 + i] for i in range(7)) and all(f"Page {i}" in got[i] for i in range(9))
+    assert [passage in got[30 + i] for i in range(2)] == [True, False] and all(numbered.format(i) in got[30 + i] for i in range(2))
