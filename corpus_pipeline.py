@@ -13,15 +13,12 @@ from lexispark.llm import decontaminate, jaccard_join, language, line_dedup, pac
 from lexispark.llm.common import Scratch, read_table
 from lexispark.llm.queries import tokenizer_path
 
-#: Documents whose best language has a lower score than this are rejected, as are undetermined ones.
-LEAST_SCORE = 0.2
-
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents in a language that the labelled ones have, by prediction; those that the classifier rejects go."""
+    """Keeps documents in a language that the labelled ones have, by prediction; those without letters or in no learned language go."""
     model = language.KernelModel.fit(*language.labelled_sample(docs.select(F.col("doc_id").alias("key"), "text", "lang")))
-    found = language.predict(docs, model)
-    return found.where((F.col("lang_pred") != language.UNDETERMINED) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+    found = language.predict(docs, model, reject=True)
+    return found.where(F.col("lang_pred") != language.UNDETERMINED).select(*docs.columns)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

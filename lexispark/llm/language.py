@@ -28,6 +28,11 @@ LONGEST_FITTED = 64 << 10
 LANDMARKS_PER_LANGUAGE = 64
 RIDGE = 1e-4
 UNDETERMINED = "und"
+#: Texts below both are in no learned language: the winner's value on a scale where 0 is that of a text without any known n-gram and 1 the target,
+#: and the share of the text's n-grams of letters and spaces that the landmarks have. Neither scale depends on the number of languages.
+LEAST_EVIDENCE, LEAST_KNOWN = 0.3, 0.85
+#: A single language has no others to be told from, so only the share tells.
+LEAST_KNOWN_ALONE = 0.7
 
 
 def presences(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -92,12 +97,23 @@ class KernelModel:
 
     def values(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """The regressions' values, a row per text: the batch's sparse incidence times the folded matrix."""
+        return self.judged(data, offsets)[0]
+
+    def judged(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """values(), and whether each text is in a learned language by LEAST_EVIDENCE and LEAST_KNOWN."""
         n = len(offsets) - 1
         row, code = presences(data, offsets)
         at = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
         met = self.codes[at] == code
         own = np.maximum(1, np.bincount(row, minlength=n)) ** 0.5
-        return np.stack([np.bincount(row[met], self.weights[at[met], c], minlength=n) for c in range(len(self.languages))], axis=1) / own[:, None] + self.bias
+        over = np.stack([np.bincount(row[met], self.weights[at[met], c], minlength=n) for c in range(len(self.languages))], axis=1) / own[:, None]
+        plain = _PLAIN[code & 255] & _PLAIN[code >> 8 & 255] & _PLAIN[code >> 16 & 255]
+        share = np.bincount(row[plain & met], minlength=n) / np.maximum(1, np.bincount(row[plain], minlength=n))
+        if len(self.languages) == 1:
+            return over + self.bias, share >= LEAST_KNOWN_ALONE
+        best = (over + self.bias).argmax(axis=1)
+        evidence = over[np.arange(n), best] / np.maximum(1 - self.bias[best], 1e-9)
+        return over + self.bias, (evidence >= LEAST_EVIDENCE) | (share >= LEAST_KNOWN)
 
 
 def labelled_sample(docs: DataFrame) -> tuple[list[str], list[str]]:
@@ -112,11 +128,11 @@ def labelled_sample(docs: DataFrame) -> tuple[list[str], list[str]]:
     return got.column("text").to_pylist(), got.column("lang").to_pylist()
 
 
-def predict(docs: DataFrame, model: KernelModel, text_col: str = "text") -> DataFrame:
+def predict(docs: DataFrame, model: KernelModel, text_col: str = "text", reject: bool = False) -> DataFrame:
     """docs with lang_pred and score, which replace columns of those names.
 
     score is the winner's regression value, moved from [-1, 1] to [0, 1]. Null texts, texts without a letter, and all texts if
-    the fit saw no language, are UNDETERMINED with score 0. Ties go to the first language by name.
+    the fit saw no language, are UNDETERMINED with score 0; with reject, so are texts that are in no learned language. Ties go to the first language by name.
     """
     docs = docs.drop("lang_pred", "score")
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -132,7 +148,9 @@ def predict(docs: DataFrame, model: KernelModel, text_col: str = "text") -> Data
                 for i in np.flatnonzero(~has):
                     has[i] = any(map(str.isalpha, column[lo + int(i)].as_py() or ""))
                 if m.languages:
-                    f = m.values(data, offsets)
+                    f, learned = m.judged(data, offsets)
+                    if reject:
+                        has &= learned
                     best = f.argmax(axis=1)
                     top = np.clip((f[np.arange(hi - lo), best] + 1) / 2, 0, 1)
                     preds += [m.languages[c] if ok else UNDETERMINED for c, ok in zip(best, has, strict=True)]
@@ -147,3 +165,5 @@ def predict(docs: DataFrame, model: KernelModel, text_col: str = "text") -> Data
 
 
 _ASCII_LETTER = np.array([chr(b).isalpha() and b < 128 for b in range(256)])
+#: Bytes of letters and spaces, and the 0 above the bytes of a short n-gram's code.
+_PLAIN = _ASCII_LETTER | ngrams.SPACES | (np.arange(256) >= 128) | (np.arange(256) == 0)
