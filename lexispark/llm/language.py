@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -21,11 +21,12 @@ from . import ngrams
 from .common import map_batches
 
 LENGTHS = (1, 2, 3)
-#: The fit sees about so many rows of each language, and so many languages, the most frequent ones, at most.
-ROWS_PER_LANGUAGE, MOST_LANGUAGES = 400, 64
+#: The fit sees so many rows of each language at most, of all languages; so many rows in all, unless there are more languages: then one of each.
+ROWS_PER_LANGUAGE, ROWS_IN_ALL = 400, 64 * 400
 #: Texts of more bytes aren't drawn for the fit. (Prediction takes whole texts of any length.)
 LONGEST_FITTED = 64 << 10
-LANDMARKS_PER_LANGUAGE = 64
+#: Landmarks of each language at most, and in all, unless there are more languages: then one of each.
+LANDMARKS_PER_LANGUAGE, LANDMARKS_IN_ALL = 64, 64 * 64
 RIDGE = 1e-4
 UNDETERMINED = "und"
 #: Texts below both are in no learned language: the winner's value on a scale where 0 is that of a text without any known n-gram and 1 the target,
@@ -73,7 +74,8 @@ class KernelModel:
         languages = sorted(set(labels))
         if not languages:
             return cls([], np.zeros(0, dtype=np.int64), np.zeros((0, 0)), np.zeros(0))
-        rows, y = _rows(texts), np.array([languages.index(x) for x in labels])
+        landmarks_per_language = min(landmarks_per_language, max(1, LANDMARKS_IN_ALL // len(languages)))
+        rows, y = _rows(texts), np.searchsorted(np.array(languages, dtype=object), np.array(labels, dtype=object))
         marks = np.concatenate([np.flatnonzero(y == c)[:landmarks_per_language] for c in range(len(languages))])
         codes = np.unique(np.concatenate([rows[i] for i in marks]))
 
@@ -117,14 +119,17 @@ class KernelModel:
 
 
 def labelled_sample(docs: DataFrame) -> tuple[list[str], list[str]]:
-    """Texts and labels of (key, text, lang) rows for the fit: of each language about ROWS_PER_LANGUAGE rows, by a hash of key and text."""
-    rows = docs.where("lang is not null and text is not null and text <> ''").where(F.octet_length("text") <= LONGEST_FITTED)
-    counts = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()
+    """Texts and labels of (key, text, lang) rows for the fit: of each language at most ROWS_PER_LANGUAGE rows, fewer if there are many languages, by a hash of key and text."""
+    rows = docs.where("lang is not null and text is not null and text <> ''").where(F.octet_length("text") <= LONGEST_FITTED).withColumn("u", F.pmod(F.xxhash64("key", "text"), F.lit(1 << 30)) / F.lit(float(1 << 30)))
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n"), F.min("u").alias("least")).collect()
     if not counts:
         return [], []
-    share = F.create_map(*(x for r in counts for x in (F.lit(r["lang"]), F.lit(min(1.0, ROWS_PER_LANGUAGE / r["n"])))))
-    drawn = rows.withColumn("u", F.pmod(F.xxhash64("key", "text"), F.lit(1 << 30)) / F.lit(float(1 << 30))).where(F.col("u") < F.coalesce(F.try_element_at(share, F.col("lang")), F.lit(0.0)))
-    got = drawn.select("lang", "text", "u").limit(2 * ROWS_PER_LANGUAGE * len(counts)).toArrow().sort_by([("u", "ascending"), ("text", "ascending")])
+    each = min(ROWS_PER_LANGUAGE, max(1, ROWS_IN_ALL // len(counts)))
+    # The hash draws at least twice as many as needed, or all, the row of the least hash among them; the rest is exact.
+    share = docs.sparkSession.createDataFrame([(r["lang"], max(r["least"], (2 * each + 16) / r["n"])) for r in counts], "lang string, share double")
+    drawn = rows.join(F.broadcast(share), "lang").where("u <= share").select("lang", "text", "u")
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("u", "text"))
+    got = drawn.withColumn("place", place).where(F.col("place") <= each).select("lang", "text", "u").toArrow().sort_by([("u", "ascending"), ("text", "ascending")])
     return got.column("text").to_pylist(), got.column("lang").to_pylist()
 
 

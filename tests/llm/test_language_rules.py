@@ -26,3 +26,18 @@ def test_the_pipeline_rejects_unlearned_languages(spark, languages):
     assert kept == {r.doc_id for r in docs.collect() if any(map(str.isalpha, r.text or ""))}
 
 
+def test_every_language_is_learned(spark):
+    rows = [(i, f"{chr(0x4E00 + i % 90) * 3} {chr(0x4E00 + i % 90)}word {i // 90}", f"l{i % 90:02}") for i in range(450)] + [(9999, "ɣɣɣ ɣʘ", "rare")]
+    docs = spark.createDataFrame(rows, "key bigint, text string, lang string")
+    model = language.KernelModel.fit(*language.labelled_sample(docs))
+    assert len(model.languages) == 91
+    got = language.predict(docs, model).select("lang", "lang_pred").collect()
+    assert len(got) == 451 and all(r.lang == r.lang_pred for r in got)
+
+
+def test_the_sample_is_bounded_in_all(spark, monkeypatch):
+    monkeypatch.setattr(language, "ROWS_PER_LANGUAGE", 10)
+    monkeypatch.setattr(language, "ROWS_IN_ALL", 40)
+    rows = [(i, f"text {i}", f"l{i % 20:02}") for i in range(2000)]
+    texts, labels = language.labelled_sample(spark.createDataFrame(rows, "key bigint, text string, lang string"))
+    assert sorted(labels) == sorted([f"l{i:02}" for i in range(20)] * 2) and len(set(texts)) == 40
