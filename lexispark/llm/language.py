@@ -23,7 +23,7 @@ from .common import map_batches
 LENGTHS = (1, 2, 3)
 #: The fit sees so many rows of each language at most, of all languages; so many rows in all, unless there are more languages: then one of each.
 ROWS_PER_LANGUAGE, ROWS_IN_ALL = 400, 64 * 400
-#: Texts of more bytes aren't drawn for the fit. (Prediction takes whole texts of any length.)
+#: Texts of more bytes are drawn for the fit only for languages without others, by a beginning of so many bytes at most. (Prediction takes whole texts of any length.)
 LONGEST_FITTED = 64 << 10
 #: Landmarks of each language at most, and in all, unless there are more languages: then one of each.
 LANDMARKS_PER_LANGUAGE, LANDMARKS_IN_ALL = 64, 64 * 64
@@ -119,16 +119,19 @@ class KernelModel:
 
 
 def labelled_sample(docs: DataFrame) -> tuple[list[str], list[str]]:
-    """Texts and labels of (key, text, lang) rows for the fit: of each language at most ROWS_PER_LANGUAGE rows, fewer if there are many languages, by a hash of key and text."""
-    rows = docs.where("lang is not null and text is not null and text <> ''").where(F.octet_length("text") <= LONGEST_FITTED).withColumn("u", F.pmod(F.xxhash64("key", "text"), F.lit(1 << 30)) / F.lit(float(1 << 30)))
-    counts = rows.groupBy("lang").agg(F.count("*").alias("n"), F.min("u").alias("least")).collect()
+    """Texts and labels of (key, text, lang) rows for the fit: of each language at most ROWS_PER_LANGUAGE different texts, fewer if there are many languages, by a hash of the text."""
+    rows = docs.where("lang is not null and text is not null and text <> ''").select("lang", "text", (F.octet_length("text") > LONGEST_FITTED).alias("long"), (F.pmod(F.xxhash64("text"), F.lit(1 << 53)) / F.lit(float(1 << 53))).alias("u"))
+    found = rows.groupBy("lang", "long").agg(F.approx_count_distinct("u").alias("n"), F.min("u").alias("least")).collect()
+    counts = list({r["lang"]: r for r in sorted(found, key=lambda r: -r["long"])}.values())  # long texts only where there are no others
     if not counts:
         return [], []
     each = min(ROWS_PER_LANGUAGE, max(1, ROWS_IN_ALL // len(counts)))
     # The hash draws at least twice as many as needed, or all, the row of the least hash among them; the rest is exact.
-    share = docs.sparkSession.createDataFrame([(r["lang"], max(r["least"], (2 * each + 16) / r["n"])) for r in counts], "lang string, share double")
-    drawn = rows.join(F.broadcast(share), "lang").where("u <= share").select("lang", "text", "u")
-    place = F.row_number().over(Window.partitionBy("lang").orderBy("u", "text"))
+    share = docs.sparkSession.createDataFrame([(r["lang"], r["long"], max(r["least"], (2 * each + 16) / max(r["n"], 1))) for r in counts], "lang string, long boolean, share double")
+    # Copies of a text have the same hash; they are one row before the bound counts them.
+    begin = F.when(F.col("long"), F.substring("text", 1, LONGEST_FITTED // 4)).otherwise(F.col("text"))
+    drawn = rows.join(F.broadcast(share), ["lang", "long"]).where("u <= share").groupBy("lang", "u").agg(F.min(begin).alias("text"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("u"))
     got = drawn.withColumn("place", place).where(F.col("place") <= each).select("lang", "text", "u").toArrow().sort_by([("u", "ascending"), ("text", "ascending")])
     return got.column("text").to_pylist(), got.column("lang").to_pylist()
 
