@@ -140,11 +140,11 @@ def scan(docs: DataFrame, ratios: list[float], text_col: str = "text") -> DataFr
     """docs with base_spans and spans, arrays of (start, kind, end) sorted by start, then kind; they replace columns of those names.
 
     kind is a place in KINDS. Spans are in code points, end exclusive. Null text counts as empty and has none.
-    A model's span that overlaps a base span isn't reported again. Rows may repeat; an empty table stays empty.
+    A model's span that a base span covers isn't reported again. Rows may repeat; an empty table stays empty.
     """
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     based = docs.drop("base_spans", "spans").withColumn("base_spans", base_spans(text))
-    own = F.filter(F.coalesce(model_spans(text, ratios), F.array().cast("array<struct<start:int,kind:int,end:int>>")), lambda m: ~F.exists("base_spans", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
+    own = F.filter(F.coalesce(model_spans(text, ratios), F.array().cast("array<struct<start:int,kind:int,end:int>>")), lambda m: ~F.exists("base_spans", lambda b: (b["start"] <= m["start"]) & (m["end"] <= b["end"])))
     return based.withColumn("spans", F.sort_array(F.concat("base_spans", own)))
 
 
