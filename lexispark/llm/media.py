@@ -24,19 +24,44 @@ WIDTH = 64
 SCHEME = "media:sha256/"
 ELEMENTS = "array<struct<position:int,kind:string,text:string,digest:string,caption:string>>"
 _BREAKS = {"p", "div", "article", "section", "h1", "h2", "h3", "h4", "h5", "h6", "li", "ul", "ol", "br", "table", "tr", "td", "th", "nav", "header", "footer", "blockquote", "pre", "figure", "body", "html"}
-_SILENT = {"script", "style", "template", "head"}
+_SILENT = {"script", "style", "template"}
+#: What a head may hold; anything else ends it, even where its end tag is left out.
+_IN_HEAD = {"title", "meta", "link", "base", "script", "style", "noscript", "template", "head", "html"}
+
+
+class _Figure:
+    """An open figure: its media so far, and its caption once it is read."""
+
+    def __init__(self):
+        self.media: list[dict] = []
+        self.caption: str | None = None
+
+    def add(self, element: dict) -> None:
+        self.media.append(element)
+        if self.caption is not None:
+            element["caption"] = self.caption
+
+    def say(self, caption: str) -> None:
+        self.caption = caption
+        for e in self.media:
+            e["caption"] = caption
 
 
 class _Sequence(HTMLParser):
-    """Ordered elements of a page."""
+    """Ordered elements of a page.
+
+    A caption belongs to the media of its own figure, before and behind it, and not to those of figures inside or around that one; outside figures it is text.
+    A caption ends with its tag, or else with its figure or at a tag that begins a block.
+    """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.elements: list[dict] = []
         self.text: list[str] = []
         self.caption: list[str] | None = None
-        self.silent = 0
-        self.figure_from: int | None = None
+        self.silent: list[str] = []
+        self.head: str | None = None
+        self.figures: list[_Figure] = []
 
     def flush(self) -> None:
         text = "".join(self.text).strip()
@@ -44,56 +69,85 @@ class _Sequence(HTMLParser):
         if text:
             self.elements.append({"kind": "text", "text": text, "digest": None, "caption": None})
 
+    def end_caption(self) -> None:
+        if self.caption is not None:
+            said, self.caption = "".join(self.caption).strip(), None
+            self.figures[-1].say(said)
+
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in _SILENT:
-            self.silent += 1
+            self.silent.append(tag)
+        if self.silent:
+            return
+        if self.head is not None:
+            if tag not in _IN_HEAD:
+                self.head = None
+            elif tag not in ("head", "html"):
+                self.head = tag
+        if tag == "head":
+            self.head = tag
         elif tag == "figcaption":
             self.flush()
-            self.caption = []
+            self.end_caption()
+            self.caption = [] if self.figures else None
         elif tag in ("img", "audio", "video", "source"):
             a = dict(attrs)
             if (src := a.get("src") or "").startswith(SCHEME):
                 self.flush()
                 self.elements.append({"kind": "media", "text": None, "digest": src.removeprefix(SCHEME), "caption": a.get("alt")})
+                if self.figures:
+                    self.figures[-1].add(self.elements[-1])
         elif tag in _BREAKS:
+            if tag not in ("p", "br"):
+                self.end_caption()
             self.flush()
         if tag == "figure":
-            self.figure_from = len(self.elements)
+            self.figures.append(_Figure())
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag not in _SILENT:
             self.handle_starttag(tag, attrs)
 
     def handle_endtag(self, tag: str) -> None:
-        if tag in _SILENT:
-            self.silent = max(0, self.silent - 1)
-        elif tag == "figcaption" and self.caption is not None:
-            said, self.caption = "".join(self.caption).strip(), None
-            for e in self.elements[self.figure_from or 0 :]:
-                if e["kind"] == "media":
-                    e["caption"] = said
+        if self.silent:
+            if tag == self.silent[-1]:
+                self.silent.pop()
+            return
+        if tag == "head":
+            self.head = None
+        elif self.head == tag:
+            self.head = "head"
+        elif tag == "figcaption":
+            self.flush()
+            self.end_caption()
         elif tag in _BREAKS:
+            if tag not in ("p", "br"):
+                self.end_caption()
             self.flush()
-        if tag == "figure":
-            self.figure_from = None
+        if tag == "figure" and self.figures:
+            self.figures.pop()
 
     def handle_data(self, data: str) -> None:
-        if self.caption is not None:
-            self.caption.append(data)
-        elif not self.silent:
-            self.text.append(data)
+        if self.silent:
+            return
+        if self.head is not None:
+            if self.head != "head" or not data.strip():
+                return
+            self.head = None  # text ends a head
+        (self.text if self.caption is None else self.caption).append(data)
 
     @classmethod
     def of(cls, html: str | None) -> list[dict]:
         p = cls()
         p.feed(html or "")
         p.close()
+        p.end_caption()
         p.flush()
         return [{"position": i, **e} for i, e in enumerate(p.elements)]
 
 
 def parse_sequences(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
-    """(id, elements): each page's texts and media references in order; null or empty html: no elements. Ids may repeat or be null."""
+    """(id, elements): each page's texts and media references in order; null or empty html: no elements. Ids may repeat or be null, pages may be of any length, and an empty table gives an empty result."""
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("position", pa.int32()), ("kind", pa.string()), ("text", pa.string()), ("digest", pa.string()), ("caption", pa.string())]))
@@ -131,7 +185,10 @@ def feature_of(samples: bytes) -> str:
 
 
 def store_payloads(payloads: DataFrame, scratch: Scratch) -> DataFrame:
-    """Writes (digest, n_bytes, media) of a text column `text` to the shared folder; null counts as empty. Copies are still there, in their own rows."""
+    """Writes (digest, n_bytes, media) of (digest, text) to the shared folder, a row for each digest; null text counts as empty.
+
+    Copies meet before they are stored, combined in each task first, so a payload that very many rows have is sent once a task. Texts may be of any length; an empty table gives an empty store.
+    """
 
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -140,7 +197,7 @@ def store_payloads(payloads: DataFrame, scratch: Scratch) -> DataFrame:
                 data = [(t or "").encode() for t in b.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([b.column("digest"), pa.array(map(len, data), pa.int64()), pa.array(map(image_bytes, data), pa.binary())], names=["digest", "n_bytes", "media"])
 
-    return scratch.table(map_batches(payloads.select("digest", "text"), store, "digest string, n_bytes long, media binary"), "payloads", keep=True)
+    return scratch.table(map_batches(payloads.groupBy("digest").agg(F.first("text").alias("text")), store, "digest string, n_bytes long, media binary"), "payloads", keep=True)
 
 
 def described(store: DataFrame) -> DataFrame:
@@ -158,8 +215,7 @@ def described(store: DataFrame) -> DataFrame:
                 columns = [pa.array(x, k) for x, k in zip(zip(*rows, strict=True), (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)]
                 yield pa.RecordBatch.from_arrays([b.column("digest"), b.column("n_bytes"), *columns], names=["digest", "n_bytes", *FEATURES])
 
-    rows = map_batches(store, read, "digest string, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
-    return rows.groupBy("digest").agg(*(F.max(c).alias(c) for c in ("n_bytes", *FEATURES)))
+    return map_batches(store, read, "digest string, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
 
 
 FEATURES = ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
@@ -168,7 +224,7 @@ FEATURES = ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "med
 def resolve(sequences: DataFrame, payloads: DataFrame, columns: list[str]) -> DataFrame:
     """(id, position, caption, digest, columns): each media reference of (id, elements) with its payload's columns, null where the store lacks it.
 
-    payloads has one row for each digest. A digest that very many pages refer to is a
+    payloads has one row for each digest. Either may be empty, ids may repeat or be null. A digest that very many pages refer to is a
     skewed key of the references' side only, which Spark splits.
     """
     refs = sequences.select("id", F.explode("elements").alias("e")).where(F.col("e.kind") == "media").select("id", "e.position", "e.caption", "e.digest")
