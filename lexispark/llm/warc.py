@@ -9,6 +9,7 @@ binary column, which any store that Spark can write takes; export() puts one in
 from __future__ import annotations
 
 import hashlib
+import itertools
 import struct
 import uuid
 from collections.abc import Iterator
@@ -34,29 +35,37 @@ TRAINING_BYTES = 2 << 20
 LEAST_REVISIT = 100
 
 
-def record_bytes(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, revisit: bool) -> bytes:
-    """One record: version, named fields, blank line, block, two line ends."""
-    block = b"" if revisit else payload
+def record_id(page_id: int | None, url: str | None, digest: str, copy: int) -> str:
+    """A record's own name: rows that are equal otherwise are told apart by their number."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id} {copy} {digest} {url}')}>"
+
+
+def record_bytes(page_id: int | None, url: str | None, payload: bytes, digest: str, copy: int = 0, refers_to: tuple[int, str | None] | None = None) -> bytes:
+    """One record: version, named fields, blank line, block, two line ends. A revisit refers to the record of a page and its url."""
+    block = payload if refers_to is None else b""
+    target = lambda url: (url or "").replace("\r", "%0D").replace("\n", "%0A") or "urn:none"
     fields = [
-        ("WARC-Type", "revisit" if revisit else "response"),
-        ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id} {digest}')}>"),
+        ("WARC-Type", "response" if refers_to is None else "revisit"),
+        ("WARC-Record-ID", record_id(page_id, url, digest, copy)),
         ("WARC-Date", "1970-01-01T00:00:00Z"),
-        ("WARC-Target-URI", (url or "").replace("\r", "%0D").replace("\n", "%0A") or "urn:none"),
+        ("WARC-Target-URI", target(url)),
         ("WARC-Payload-Digest", f"sha256:{digest}"),
         ("WARC-Payload-Length", str(len(payload))),
         ("WARC-Page-ID", "" if page_id is None else f"{ID_PREFIX}{page_id}"),
         ("Content-Type", "text/html; charset=utf-8"),
     ]
-    if revisit:
-        fields += [("WARC-Profile", REVISIT_PROFILE), ("WARC-Refers-To", f"<{ID_PREFIX}{refers_to}>")]
+    if refers_to is not None:
+        page, at = refers_to
+        fields += [("WARC-Profile", REVISIT_PROFILE), ("WARC-Refers-To", record_id(page, at, digest, 0)), ("WARC-Refers-To-Target-URI", target(at)), ("WARC-Refers-To-Page-ID", f"{ID_PREFIX}{page}")]
     fields.append(("Content-Length", str(len(block))))
     return "".join(["WARC/1.1\r\n", *(f"{k}: {v}\r\n" for k, v in fields), "\r\n"]).encode() + block + b"\r\n\r\n"
 
 
 def train_dictionary(records: list[bytes]) -> bytes:
-    """A dictionary from the records; of too few or too short ones, their own content, as far as it fits; empty if there are none."""
+    """A dictionary from records spread evenly over the archive; of too few or too short ones, their own content, as far as it fits; empty if there are none."""
     step = max(1, -(-sum(map(len, records)) // TRAINING_BYTES))
-    samples = records[::step]
+    ends = itertools.accumulate(map(len, records[::step]))
+    samples = [r for r, end in zip(records[::step], ends, strict=True) if end <= TRAINING_BYTES] or [records[0][:TRAINING_BYTES]] if records else []
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()
     except zstandard.ZstdError:
@@ -101,9 +110,11 @@ def read_archive(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         yield fields, rest[: int(fields["Content-Length"])]
 
 
-def revisit_plan(pages: DataFrame) -> DataFrame:
-    """(digest, first): the smallest page_id of each payload that several pages share and that is long enough."""
-    return pages.where(F.col("size") >= LEAST_REVISIT).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null").select("digest", "first")
+def revisit_plan(slim: DataFrame) -> DataFrame:
+    """(digest, first, first_url): of each payload that several rows (page_id, url, digest, size, rows) share and that is long enough, the smallest page_id, and its smallest url."""
+    long_enough = slim.where(F.col("size") >= LEAST_REVISIT)
+    found = long_enough.groupBy("digest").agg(F.sum("rows").alias("n"), F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url"))).alias("first"))
+    return found.where("n > 1 and first is not null").select("digest", F.col("first.page_id").alias("first"), F.col("first.url").alias("first_url"))
 
 
 def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -111,15 +122,25 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
 
     Of pages with equal payloads of LEAST_REVISIT bytes or more, the smallest page_id's is a response, and so are
     repeated rows of that id; others, those without an id too, revisit it. If none has an id, all are responses. Null html
-    is an empty payload. Other columns are ignored. An empty table gives no archive.
+    is an empty payload. Each record has a name of its own, also where rows are equal, and a revisit's reference is the name of a response. Other columns are ignored. Pages may be of any length. An empty table gives no archive.
     """
     html = F.coalesce(F.col(f"`{html_col}`"), F.lit(""))
     rows = pages.select(F.col(f"`{id_col}`").cast("long").alias("page_id"), F.col(f"`{url_col}`").alias("url"), html.alias("html"))
-    slim = rows.select("page_id", F.sha2(F.encode("html", "UTF-8"), 256).alias("digest"), F.octet_length("html").alias("size"))
+    rows = rows.withColumn("digest", F.sha2(F.encode("html", "UTF-8"), 256))
     scratch = Scratch(pages.sparkSession, "warc")
+    slim = scratch.table(rows.groupBy("page_id", "url", "digest").agg(F.first(F.octet_length("html")).alias("size"), F.count("*").alias("rows")), "slim", keep=True)
     first = scratch.table(revisit_plan(slim), "first", keep=True)
-    marked = rows.withColumn("digest", F.sha2(F.encode("html", "UTF-8"), 256)).join(first, "digest", "left")
-    marked = marked.select("page_id", "url", "html", "digest", F.col("first").alias("refers_to"), (F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))).alias("revisit"))
+    # Rows that are equal are one row here, and as many again, with numbers, when they are written.
+    repeated = scratch.table(slim.where("rows > 1").select(F.col("page_id").alias("p"), F.col("url").alias("u"), F.col("digest").alias("d"), F.col("rows").alias("n")), "repeated", keep=True)
+    same = F.col("page_id").eqNullSafe(F.col("p")) & F.col("url").eqNullSafe(F.col("u")) & (F.col("digest") == F.col("d"))
+    if repeated.limit(1).count():
+        again = rows.join(repeated, same, "left_semi").groupBy("page_id", "url", "digest").agg(F.first("html").alias("html")).join(repeated, same)
+        again = again.select("page_id", "url", "html", "digest", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("copy"))
+        rows = rows.join(repeated, same, "left_anti").withColumn("copy", F.lit(0).cast("long")).unionByName(again)
+    else:
+        rows = rows.withColumn("copy", F.lit(0).cast("long"))
+    revisit = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
+    marked = rows.join(first, "digest", "left").select("page_id", "url", "html", "digest", "copy", F.when(revisit, F.col("first")).alias("refers_to"), "first_url")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         records, size = [], 0
@@ -131,7 +152,7 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
         for whole in batches:
             for lo in range(0, whole.num_rows, 256):
                 for r in whole.slice(lo, 256).to_pylist():
-                    records.append(record_bytes(r["page_id"], r["url"], r["html"].encode(), r["digest"], r["refers_to"], r["revisit"]))
+                    records.append(record_bytes(r["page_id"], r["url"], r["html"].encode(), r["digest"], r["copy"], None if r["refers_to"] is None else (r["refers_to"], r["first_url"])))
                     size += len(records[-1])
                     if size >= ARCHIVE_BYTES:
                         yield archive()
@@ -143,7 +164,7 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
 
 
 def read_records(archives: DataFrame) -> DataFrame:
-    """(page_id, url, record_type, payload_bytes, payload_digest, refers_to, html) of each record; a revisit has no html here.
+    """(page_id, url, record_type, payload_bytes, payload_digest, refers_to, html, record_id, refers_to_record) of each record; a revisit has no html here.
 
     A response's length and digest are computed from its block, and must be what its fields say.
     """
@@ -158,7 +179,7 @@ def read_records(archives: DataFrame) -> DataFrame:
                     if response and said != (len(block), hashlib.sha256(block).hexdigest()):
                         raise ValueError(f"a record's payload isn't what its fields say: {f['WARC-Record-ID']}")
                     page = f["WARC-Page-ID"].removeprefix(ID_PREFIX)
-                    rows.append((int(page) if page else None, f["WARC-Target-URI"], f["WARC-Type"], *said, None if response else int(f["WARC-Refers-To"].strip("<>").removeprefix(ID_PREFIX)), block.decode() if response else None))
+                    rows.append((int(page) if page else None, f["WARC-Target-URI"], f["WARC-Type"], *said, None if response else int(f["WARC-Refers-To-Page-ID"].removeprefix(ID_PREFIX)), block.decode() if response else None, f["WARC-Record-ID"], f.get("WARC-Refers-To")))
                     if len(rows) == 256:
                         yield _rows(rows)
                         rows = []
@@ -166,11 +187,11 @@ def read_records(archives: DataFrame) -> DataFrame:
                     yield _rows(rows)
 
     def _rows(rows: list[tuple]) -> pa.RecordBatch:
-        kinds = (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string())
-        names = ("page_id", "url", "record_type", "payload_bytes", "payload_digest", "refers_to", "html")
+        kinds = (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string())
+        names = ("page_id", "url", "record_type", "payload_bytes", "payload_digest", "refers_to", "html", "record_id", "refers_to_record")
         return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
-    return map_batches(archives.select("archive"), read, "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, html string")
+    return map_batches(archives.select("archive"), read, "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, html string, record_id string, refers_to_record string")
 
 
 def export(archives: DataFrame, number: int, path: str) -> None:
