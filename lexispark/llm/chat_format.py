@@ -20,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import running
+
 #: Fixed values of the template.
 HEAD, CLOSE, NEXT = "### ", "</turn>", "<next/>"
 _CONTROL = "(### |</turn>|<next/>)"
@@ -54,7 +56,8 @@ def format_conversations(turns: DataFrame, conv: str = "conv_id", turn: str = "t
     loss_spans are [start, end) in code points of `formatted`, one for each row of
     the trained role, over its escaped text. Null text or role: empty. A null turn
     sorts first, and ties sort by role, then text. Rows with a null conversation form
-    one conversation. Repeated rows stay. Other columns are ignored, whatever their names.
+    one conversation. Repeated rows stay, texts may be of any length, and an empty table gives an empty result. Other columns are ignored, whatever their names.
+    A conversation is one row, so its turns must fit in a task.
     """
     rows = turns.select(
         F.col(f"`{conv}`").alias("conv_id"),
@@ -82,22 +85,13 @@ def format_conversations(turns: DataFrame, conv: str = "conv_id", turn: str = "t
         ),
     )
     built = shielded.select("conv_id", opened.alias("marked")).select("conv_id", pieces.alias("pieces"))
-    start = F.aggregate(
-        "pieces",
-        F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("spans")),
-        lambda acc, p: F.struct(
-            (acc["at"] + F.length(p["before"]) + F.length(p["text"]) + F.length(p["after"])).cast("long").alias("at"),
-            F.when(
-                p["role"] == F.lit(trained),
-                F.concat(acc["spans"], F.array(F.struct((acc["at"] + F.length(p["before"])).cast("long").alias("start"), (acc["at"] + F.length(p["before"]) + F.length(p["text"])).cast("long").alias("end")))),
-            ).otherwise(acc["spans"]).alias("spans"),
-        ),
-        lambda acc: acc["spans"],
-    )
+    before = running(F.transform("pieces", lambda p: F.length(p["before"]) + F.length(p["text"]) + F.length(p["after"])))
+    placed = F.zip_with("pieces", before, lambda p, at: F.struct((at + F.length(p["before"])).cast("long").alias("start"), (at + F.length(p["before"]) + F.length(p["text"])).cast("long").alias("end"), p["role"].alias("role")))
+    spans = F.transform(F.filter(placed, lambda s: s["role"] == F.lit(trained)), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
     return built.select(
         "conv_id",
         F.array_join(F.transform("pieces", lambda p: F.concat(p["before"], p["text"], p["after"])), "").alias("formatted"),
-        start.alias("loss_spans"),
+        spans.alias("loss_spans"),
     )
 
 

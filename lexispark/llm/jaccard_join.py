@@ -11,11 +11,12 @@ and lose no link:
 * Each first shingle links its documents to one hub document, that which has the fewest shingles before it, where exact counts allow. First shingles whose
   documents are then all in one component are done with; so a group of near copies costs
   a comparison for each, not for each pair.
-* Of the others, pairs of different components that the sizes allow are compared, at the first that they share of those with many documents.
+* Of the others, pairs of different components that the sizes allow are compared, once, at the first open shingle that they share.
 
 The columns are in blocks. A vertex carries its number of shingles in each block, and a pair is discarded
-unless the smaller numbers add up to the overlap that its sizes call for; what remains is multiplied
-block by block, and a pair leaves as soon as its count can't reach that bound any more.
+unless the smaller numbers add up to the overlap that its sizes call for. The rest is a product of the rows of many vertices with that
+of the one they are compared with, which is sent once for all of them: counts add up block by block, and a pair leaves as soon as its count
+can't reach that bound any more. Shingles and vertices that very many pairs share are dealt over several tasks.
 Frequencies steer the work only; results are exact.
 """
 
@@ -30,13 +31,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import ngrams
-from .common import Scratch, map_batches, match_rows, told, without_rows
+from .common import Scratch, map_batches, match_rows, without_rows
 from .components import connected_components
 
 #: Most frequent shingles that tasks get to know; their least frequency rises until they are that few.
 MOST_FREQUENT = 1 << 20
-#: First shingles of so many documents are looked at in their order.
-MANY = 64
+#: Rows of a shingle, and shingles of the vertices compared with one, that a task takes together, about; more are dealt over more tasks.
+ROWS_TOGETHER, SHINGLES_TOGETHER = 1024, 1 << 20
 #: A shingle that was counted less often isn't called frequent. A task's counters, and shingles that it counts with them.
 LEAST_FREQUENCY, COUNTERS, WINDOW = 32, 1 << 25, 4 << 20
 #: The product takes n-gram columns in so many blocks; vertices carry counts for more, narrower ones.
@@ -180,25 +181,53 @@ def overlaps(left: list[np.ndarray], right: list[np.ndarray], percent: int) -> n
     return alive & (count >= need)
 
 
+def _dealt(df: DataFrame, name: str, by: Column, size: Column, each: int) -> DataFrame:
+    """df with the number of a part, size / each parts dealt by a hash."""
+    return df.withColumn(name, F.pmod(F.xxhash64(by), F.greatest(F.ceil(size / each), F.lit(1))).cast("int"))
+
+
+def _all_parts(df: DataFrame, name: str, size: Column, each: int) -> DataFrame:
+    """df with a row for each part that _dealt() has."""
+    return df.withColumn(name, F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(size / each), F.lit(1)).cast("int") - 1)))
+
+
 def _verified(pairs: DataFrame, where: DataFrame, docs: DataFrame, k: int, percent: int, scratch: Scratch) -> DataFrame:
-    """Of pairs (a, b) of vertices, those that link."""
+    """Of pairs (a, b) of vertices, those that link.
+
+    The vertex of a pair that has more pairs is its centre. A centre's text is sent once for each part of its members, which follow it in order.
+    """
     pairs = scratch.table(_possible(pairs, where, percent), "possible")
-    wanted = scratch.table(pairs.select(F.explode(F.array("a", "b")).alias("v")).distinct().join(where, "v").select("v", F.col("doc_id").alias("__d"), F.col("h").alias("__h")), "wanted")
-    texts = (
-        docs.join(told(wanted), (F.col("h") == F.col("__h")) & F.col("doc_id").eqNullSafe(F.col("__d")))
-        .groupBy("v")
-        .agg(F.first("text").alias("text"))
-    )
-    full = pairs.join(texts.withColumnsRenamed({"v": "a", "text": "ta"}), "a").join(texts.withColumnsRenamed({"v": "b", "text": "tb"}), "b")
+    degrees = pairs.select(F.explode(F.array("a", "b")).alias("v")).groupBy("v").agg(F.count("*").alias("pairs"))
+    wanted = scratch.table(degrees.join(where, "v").select("v", "pairs", "n", F.col("doc_id").alias("__d"), F.col("h").alias("__h")), "wanted")
+    texts = docs.join(wanted, (F.col("h") == F.col("__h")) & F.col("doc_id").eqNullSafe(F.col("__d"))).groupBy("v").agg(F.first("text").alias("text"))
+    texts = scratch.table(texts, "texts")
+    side = lambda x: wanted.select(F.col("v").alias(x), F.col("pairs").alias(f"pairs_{x}"), F.col("n").alias(f"n_{x}"))
+    turned = F.col("pairs_a") >= F.col("pairs_b")
+    pick = lambda x, y, name: F.when(turned, F.col(x)).otherwise(F.col(y)).alias(name)
+    directed = scratch.table(pairs.join(side("a"), "a").join(side("b"), "b").select(pick("a", "b", "centre"), pick("b", "a", "member"), pick("n_b", "n_a", "size")), "directed")
+    centres = scratch.table(directed.groupBy("centre").agg(F.sum("size").alias("total")), "centres")
+    members = _dealt(directed.join(centres, "centre"), "part", F.col("member"), F.col("total"), SHINGLES_TOGETHER).join(texts.withColumnRenamed("v", "member"), "member")
+    heads = _all_parts(centres, "part", F.col("total"), SHINGLES_TOGETHER).join(texts.withColumnRenamed("v", "centre"), "centre").withColumn("member", F.lit(None).cast("long"))
+    columns = ("centre", "part", "member", "text")
+    rows = members.select(*columns).union(heads.select(*columns)).repartition("centre", "part").sortWithinPartitions("centre", "part", F.col("member").asc_nulls_first())
 
     def product(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head = None
         for whole in batches:
-            for lo in range(0, whole.num_rows, 128):
-                b = whole.slice(lo, 128)
-                ok = pa.array(overlaps(list(ngrams.shingle_sets(b.column("ta"), k)), list(ngrams.shingle_sets(b.column("tb"), k)), percent))
-                yield pa.RecordBatch.from_arrays([b.column("a").filter(ok), b.column("b").filter(ok)], names=["a", "b"])
-
-    return map_batches(full.select("a", "b", "ta", "tb"), product, "a long, b long")
+            for lo in range(0, whole.num_rows, 256):
+                b = whole.slice(lo, 256)
+                left, right, at = [], [], []
+                for i, (member, own) in enumerate(zip(b.column("member").to_pylist(), ngrams.shingle_sets(b.column("text"), k), strict=True)):
+                    if member is None:
+                        head = own
+                    else:
+                        left.append(head)
+                        right.append(own)
+                        at.append(i)
+                linked = pa.array(np.array(at, dtype=np.int64)[overlaps(left, right, percent)] if at else [], pa.int64())
+                yield pa.RecordBatch.from_arrays([b.column("centre").take(linked), b.column("member").take(linked)], names=["a", "b"])
+
+    return map_batches(rows, product, "a long, b long")
 
 
 def link_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -224,25 +253,22 @@ def link_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
 
     allowed = _allowed(percent)
     ordered = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-    hubs = postings.groupBy("token").agg(F.min(F.struct("place", "n", "v")).alias("hub"))
-    star = postings.join(hubs, "token").where((F.col("v") != F.col("hub.v")) & allowed("n", "place", "hub.n", "hub.place")).select(*ordered(F.col("v"), F.col("hub.v")))
+    hubs = postings.groupBy("token").agg(F.min(F.struct("place", "n", "v")).alias("hub"), F.count("*").alias("rows"))
+    star = _dealt(postings, "part", F.col("v"), F.col("docs"), ROWS_TOGETHER).join(_all_parts(hubs, "part", F.col("rows"), ROWS_TOGETHER), ["token", "part"])
+    star = star.where((F.col("v") != F.col("hub.v")) & allowed("n", "place", "hub.n", "hub.place")).select(*ordered(F.col("v"), F.col("hub.v")))
     star = scratch.table(star.distinct(), "star")
     links = scratch.table(_verified(star, where, docs, k, percent, scratch), "star-links")
     labels = connected_components(links, scratch)
 
     wide = postings.where("docs > 2").select("token", "docs", "v", "n", "place").join(labels, "v", "left").withColumn("label", F.coalesce("label", "v"))
-    open_tokens = wide.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("token")
-    # At a shingle of many documents a pair is compared only if it is the first such one that they share, so once.
-    open_rows = scratch.table(wide.join(open_tokens, "token"), "open")
-    row = [F.col(c) for c in ("token", "v", "n", "label", "place")]
-    few = open_rows.where(F.col("docs") < MANY).select(*row, F.array().cast("array<bigint>").alias("before"))
-    own = open_rows.where(F.col("docs") >= MANY).groupBy("v", "n", "label").agg(F.sort_array(F.collect_list(F.struct("place", "token"))).alias("own"))
+    open_tokens = wide.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("rows")).where("lo < hi").select("token", "rows")
+    # A pair is compared at the first open shingle that both sets have, so once: each row knows its vertex's open shingles before it.
+    own = wide.join(open_tokens, "token").groupBy("v", "n", "label").agg(F.sort_array(F.collect_list(F.struct("place", "token", "rows"))).alias("own"))
     each = own.select("v", "n", "label", F.transform("own", lambda t: t["token"]).alias("tokens"), F.posexplode("own").alias("i", "t"))
-    many = each.select("t.token", "v", "n", "label", "t.place", F.slice("tokens", F.lit(1), F.col("i")).alias("before"))
-    left = scratch.table(few.unionByName(many), "ordered")
-    right = left.select("token", *(F.col(c).alias(f"{c}2") for c in ("v", "n", "label", "place", "before")))
+    left = scratch.table(each.select("t.token", "t.rows", "v", "n", "label", "t.place", F.slice("tokens", F.lit(1), F.col("i")).alias("before")), "open")
+    right = _all_parts(left, "part", F.col("rows"), ROWS_TOGETHER).select("token", "part", *(F.col(c).alias(f"{c}2") for c in ("v", "n", "label", "place", "before")))
     differ = (F.col("v") < F.col("v2")) & (F.col("label") != F.col("label2")) & allowed("n", "place", "n2", "place2")
-    more = left.join(right, "token").where(differ & ~F.arrays_overlap("before", "before2"))
+    more = _dealt(left, "part", F.col("v"), F.col("rows"), ROWS_TOGETHER).join(right, ["token", "part"]).where(differ & ~F.arrays_overlap("before", "before2"))
     pairs = more.select(F.col("v").alias("a"), F.col("v2").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
     more_links = scratch.table(_verified(pairs, where, docs, k, percent, scratch), "more-links")
     if more_links.limit(1).count():

@@ -18,15 +18,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import ngrams
-from .common import map_batches
+from .common import fresh, map_batches
 
 LENGTHS = (1, 2, 3)
 #: The fit sees so many rows of each language at most, of all languages; so many rows in all, unless there are more languages: then one of each.
-ROWS_PER_LANGUAGE, ROWS_IN_ALL = 400, 64 * 400
-#: Texts of more bytes are drawn for the fit only for languages without others, by a beginning of so many bytes at most. (Prediction takes whole texts of any length.)
+ROWS_PER_LANGUAGE, ROWS_IN_ALL = 400, 16 * 400
+#: Texts of more bytes are drawn for the fit only for languages without others. The driver gets a drawn text's set of n-grams, of the whole text, and not the text.
 LONGEST_FITTED = 64 << 10
 #: Landmarks of each language at most, and in all, unless there are more languages: then one of each.
-LANDMARKS_PER_LANGUAGE, LANDMARKS_IN_ALL = 64, 64 * 64
+LANDMARKS_PER_LANGUAGE, LANDMARKS_IN_ALL = 64, 16 * 64
+#: The fit's incidence matrices are made for so many n-grams at a time.
+COLUMNS_TOGETHER = 1 << 13
 RIDGE = 1e-4
 UNDETERMINED = "und"
 #: Texts below both are in no learned language: the winner's value on a scale where 0 is that of a text without any known n-gram and 1 the target,
@@ -70,32 +72,42 @@ class KernelModel:
         self.languages, self.codes, self.weights, self.bias = languages, codes, weights, bias
 
     @classmethod
-    def fit(cls, texts: list[str], labels: list[str], landmarks_per_language: int = LANDMARKS_PER_LANGUAGE, ridge: float = RIDGE) -> KernelModel:
+    def fit(cls, texts: list[str] | list[np.ndarray], labels: list[str], landmarks_per_language: int = LANDMARKS_PER_LANGUAGE, ridge: float = RIDGE) -> KernelModel:
+        """A model from texts, or their sorted n-gram codes, and their languages; without any, one that knows no language."""
         languages = sorted(set(labels))
         if not languages:
             return cls([], np.zeros(0, dtype=np.int64), np.zeros((0, 0)), np.zeros(0))
         landmarks_per_language = min(landmarks_per_language, max(1, LANDMARKS_IN_ALL // len(languages)))
-        rows, y = _rows(texts), np.searchsorted(np.array(languages, dtype=object), np.array(labels, dtype=object))
+        rows = _rows(texts) if isinstance(texts[0], str) else texts
+        y = np.searchsorted(np.array(languages, dtype=object), np.array(labels, dtype=object))
         marks = np.concatenate([np.flatnonzero(y == c)[:landmarks_per_language] for c in range(len(languages))])
         codes = np.unique(np.concatenate([rows[i] for i in marks]))
 
-        def incidence(some: np.ndarray) -> np.ndarray:
-            b = np.zeros((len(some), len(codes)), dtype=np.float32)
+        def incidence(some: np.ndarray, block: np.ndarray) -> np.ndarray:
+            b = np.zeros((len(some), len(block)), dtype=np.float32)
             for r, i in enumerate(some):
-                at = np.minimum(np.searchsorted(codes, rows[i]), len(codes) - 1)
-                b[r, at[codes[at] == rows[i]]] = 1 / max(1, len(rows[i])) ** 0.5
+                own = rows[i][np.searchsorted(rows[i], block[0]) : np.searchsorted(rows[i], block[-1], side="right")]
+                at = np.searchsorted(block, own)
+                b[r, at[block[at] == own]] = 1 / max(1, len(rows[i])) ** 0.5
             return b
 
-        base = incidence(marks)
-        k_nm = np.concatenate([incidence(some) @ base.T for some in np.array_split(np.arange(len(rows)), -(-len(rows) // 256))]).astype(np.float64)
-        values, vectors = np.linalg.eigh((base @ base.T).astype(np.float64))
+        blocks = np.split(codes, range(COLUMNS_TOGETHER, len(codes), COLUMNS_TOGETHER)) if len(codes) else []
+        k_nm, k_mm = np.zeros((len(rows), len(marks))), np.zeros((len(marks), len(marks)))
+        for block in blocks:
+            base = incidence(marks, block)
+            k_mm += base @ base.T
+            for some in np.array_split(np.arange(len(rows)), -(-len(rows) // 256)):
+                k_nm[some] += incidence(some, block) @ base.T
+        values, vectors = np.linalg.eigh(k_mm)
         kept = values > 1e-6 * values[-1]
         root = vectors[:, kept] / np.sqrt(values[kept])  # K_mm to the power -1/2, on its range
         phi = k_nm @ root
         target = np.where(y[:, None] == np.arange(len(languages)), 1.0, -1.0)
         bias = target.mean(axis=0)
         beta = np.linalg.solve(phi.T @ phi + ridge * len(rows) * np.eye(phi.shape[1]), phi.T @ (target - bias))
-        return cls(languages, codes, base.T.astype(np.float64) @ (root @ beta), bias)
+        folded = root @ beta
+        weights = np.concatenate([incidence(marks, block).T.astype(np.float64) @ folded for block in blocks]) if blocks else np.zeros((0, len(languages)))
+        return cls(languages, codes, weights, bias)
 
     def values(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """The regressions' values, a row per text: the batch's sparse incidence times the folded matrix."""
@@ -118,8 +130,11 @@ class KernelModel:
         return over + self.bias, (evidence >= LEAST_EVIDENCE) | (share >= LEAST_KNOWN)
 
 
-def labelled_sample(docs: DataFrame) -> tuple[list[str], list[str]]:
-    """Texts and labels of (key, text, lang) rows for the fit: of each language at most ROWS_PER_LANGUAGE different texts, fewer if there are many languages, by a hash of the text."""
+def labelled_sample(docs: DataFrame) -> tuple[list[np.ndarray], list[str]]:
+    """N-gram codes and labels of (key, text, lang) rows for the fit: of each language at most ROWS_PER_LANGUAGE different texts, fewer if there are many languages, by a hash of the text.
+
+    Rows without text or language teach nothing, and an empty table gives nothing. Copies of a text are one text.
+    """
     rows = docs.where("lang is not null and text is not null and text <> ''").select("lang", "text", (F.octet_length("text") > LONGEST_FITTED).alias("long"), (F.pmod(F.xxhash64("text"), F.lit(1 << 53)) / F.lit(float(1 << 53))).alias("u"))
     found = rows.groupBy("lang", "long").agg(F.approx_count_distinct("u").alias("n"), F.min("u").alias("least")).collect()
     counts = list({r["lang"]: r for r in sorted(found, key=lambda r: -r["long"])}.values())  # long texts only where there are no others
@@ -129,22 +144,28 @@ def labelled_sample(docs: DataFrame) -> tuple[list[str], list[str]]:
     # The hash draws at least twice as many as needed, or all, the row of the least hash among them; the rest is exact.
     share = docs.sparkSession.createDataFrame([(r["lang"], r["long"], max(r["least"], (2 * each + 16) / max(r["n"], 1))) for r in counts], "lang string, long boolean, share double")
     # Copies of a text have the same hash; they are one row before the bound counts them.
-    begin = F.when(F.col("long"), F.substring("text", 1, LONGEST_FITTED // 4)).otherwise(F.col("text"))
-    drawn = rows.join(F.broadcast(share), ["lang", "long"]).where("u <= share").groupBy("lang", "u").agg(F.min(begin).alias("text"))
+    drawn = rows.join(F.broadcast(share), ["lang", "long"]).where("u <= share").groupBy("lang", "u").agg(F.min("text").alias("text"))  # a row for each language
     place = F.row_number().over(Window.partitionBy("lang").orderBy("u"))
-    got = drawn.withColumn("place", place).where(F.col("place") <= each).select("lang", "text", "u").toArrow().sort_by([("u", "ascending"), ("text", "ascending")])
-    return got.column("text").to_pylist(), got.column("lang").to_pylist()
+    chosen = drawn.withColumn("place", place).where(F.col("place") <= each).select("lang", "u", "text")
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            codes = _rows(b.column("text").to_pylist())
+            yield pa.RecordBatch.from_arrays([b.column("lang"), b.column("u"), pa.array(codes, pa.list_(pa.int64()))], names=["lang", "u", "codes"])
+
+    got = map_batches(chosen, sets, "lang string, u double, codes array<bigint>").toArrow().sort_by([("u", "ascending"), ("lang", "ascending")])
+    return [c.values.to_numpy() for c in got.column("codes")], got.column("lang").to_pylist()
 
 
 def predict(docs: DataFrame, model: KernelModel, text_col: str = "text", reject: bool = False) -> DataFrame:
-    """docs with lang_pred and score, which replace columns of those names.
+    """docs with lang_pred and score; a name that docs has already gets underscores until it is new.
 
     score is the winner's regression value, moved from [-1, 1] to [0, 1]. Null texts, texts without a letter, and all texts if
     the fit saw no language, are UNDETERMINED with score 0; with reject, so are texts that are in no learned language. Ties go to the first language by name.
+    Rows may repeat, texts may be of any length, and an empty table stays empty.
     """
-    docs = docs.drop("lang_pred", "score")
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    names = docs.columns
+    names = [*docs.columns, fresh(docs.columns, "lang_pred"), fresh(docs.columns, "score")]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
@@ -166,9 +187,9 @@ def predict(docs: DataFrame, model: KernelModel, text_col: str = "text", reject:
                 else:
                     preds += [UNDETERMINED] * (hi - lo)
                     scores += [0.0] * (hi - lo)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(preds, pa.string()), pa.array(scores, pa.float64())], names=[*names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(preds, pa.string()), pa.array(scores, pa.float64())], names=names)
 
-    schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    schema = T.StructType([*docs.schema.fields, T.StructField(names[-2], T.StringType()), T.StructField(names[-1], T.DoubleType())])
     return map_batches(docs, score, schema)
 
 

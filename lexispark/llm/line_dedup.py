@@ -1,9 +1,11 @@
 """Line dedup with a log-template tree.
 
-Lines are parsed into a tree of fixed depth: the number of tokens, then the leading tokens, in which
+All lines are parsed into a tree of fixed depth: the number of tokens, then the leading tokens, in which
 tokens with a digit count as variable. A leaf's lines are generalised: a token that few of the leaf's lines have at its
 place is variable too. What is left is the line's template. Templates that recur
-across documents, and lines that recur as they are, are dropped from all documents but the first that has them.
+across documents are dropped from all documents but the first that has them, and so are lines that recur as they are: a template
+without variable tokens tells as much from two texts on as others from several. Equal lines are in one leaf, as are lines that are equal
+but for masked tokens, so counts of either are counts within leaves.
 """
 
 from __future__ import annotations
@@ -13,11 +15,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import ngrams
-from .common import Scratch, map_batches, text_hash, told
+from .common import Scratch, fresh, map_batches, text_hash
 
 #: Leading tokens in the tree, below the level of token counts.
 DEPTH = 3
@@ -32,9 +34,6 @@ CONSTANT_PERCENT = 75
 #: Share of a leaf's different lines, in percent, that have a token at its place if it isn't variable; and LEAST_TEXTS lines at least, as fewer tell nothing.
 #: A place has at most 100 / SHARE_PERCENT such tokens, so a leaf's templates don't grow in number with the corpus.
 SHARE_PERCENT = 5
-#: Bits of the bitmap by which tasks tell leaves that recur from nearly all that don't. (What it lets through is joined exactly.)
-LEAF_BITS = 1 << 22
-
 _DIGIT = np.zeros(256, dtype=bool)
 _DIGIT[48:58] = True
 _VARIABLE = np.uint64(0x5851F42D4C957F2D)
@@ -79,7 +78,7 @@ def _take_long(x: np.ndarray) -> pa.Array:
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """Lines with a token. Those of fewer than LEAST_TOKENS have no leaf and aren't masked; least is the number of texts from which a line as it is recurs."""
+    """Lines with a token, each in its leaf. Those of fewer than LEAST_TOKENS aren't masked and have no tokens here; least is the number of texts from which a line as it is recurs."""
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -89,44 +88,18 @@ def _lines(docs: DataFrame) -> DataFrame:
                 few = x["n"] < LEAST_TOKENS
                 x["masked"] = np.where(few, x["whole"], x["masked"])
                 x["least"] = np.where(few & (x["chars"] < LEAST_CHARS), SHORT_TEXTS, EXACT_TEXTS)
-                keep = x["n"] > 0
+                keep = np.flatnonzero(x["n"] > 0)
                 row = lo + x["text"][keep]
-                leaf = pa.array(x["leaf"][keep].view(np.int64), mask=few[keep])
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(row)), pa.array(h[row]), leaf, *(_take_long(x[c][keep]) for c in ("line", "whole", "masked", "least"))], names=["doc_id", "h", "leaf", "line", "whole", "masked", "least"])
-
-    return map_batches(docs, parse, "doc_id long, h long, leaf long, line long, whole long, masked long, least long")
-
-
-def _leaf_bitmap(leaves: DataFrame) -> np.ndarray:
-    """A bitmap of leaves, LEAF_BITS long whatever their number: the driver gets its words, not the leaves."""
-    bit = F.pmod("leaf", F.lit(LEAF_BITS))
-    words = leaves.groupBy(F.floor(bit / 32).cast("int").alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(bit, F.lit(32)).cast("int"))).alias("bits")).toArrow()
-    out = np.zeros(LEAF_BITS // 32, dtype=np.uint32)
-    out[words.column("word").to_numpy()] = words.column("bits").to_numpy().astype(np.uint32)
-    return out
-
-
-def _tokens(docs: DataFrame, bitmap: np.ndarray) -> DataFrame:
-    """(leaf, masked, tokens) of lines in leaves that the bitmap lets through; a batch names each line once."""
-    shared = docs.sparkSession.sparkContext.broadcast(bitmap)
-
-    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = shared.value
-        for b in batches:
-            for _, _, data, offsets in ngrams.chunks(b.column("text")):
-                x = parse_lines(data, offsets)
-                at = x["leaf"].view(np.int64) % LEAF_BITS
-                keep = np.flatnonzero((x["n"] >= LEAST_TOKENS) & ((bits[at // 32] >> (at % 32).astype(np.uint32)) & np.uint32(1)).astype(bool))
-                _, one = np.unique(x["masked"][keep], return_index=True)
-                keep = keep[one]
-                n, starts = x["n"][keep], x["starts"][keep]
+                n = np.where(few[keep], 0, x["n"][keep])
                 ends = np.concatenate([[0], np.cumsum(n)])
-                flat = x["tokens"][np.repeat(starts - ends[:-1], n) + np.arange(ends[-1])]
                 # 32 bits of a token tell it from others at its place.
-                flat = (flat & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)
-                yield pa.RecordBatch.from_arrays([*(_take_long(x[c][keep]) for c in ("leaf", "masked")), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))], names=["leaf", "masked", "tokens"])
+                flat = (x["tokens"][np.repeat(x["starts"][keep] - ends[:-1], n) + np.arange(ends[-1])] & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [ids.take(pa.array(row)), pa.array(h[row]), *(_take_long(x[c][keep]) for c in ("leaf", "line", "whole", "masked", "least")), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))],
+                    names=["doc_id", "h", "leaf", "line", "whole", "masked", "least", "tokens"],
+                )
 
-    return map_batches(docs.select("text"), parse, "leaf long, masked long, tokens array<int>")
+    return map_batches(docs, parse, "doc_id long, h long, leaf long, line long, whole long, masked long, least long, tokens array<int>")
 
 
 def recurring_lines(docs: DataFrame, scratch: Scratch) -> DataFrame:
@@ -144,8 +117,9 @@ def recurring_lines(docs: DataFrame, scratch: Scratch) -> DataFrame:
     repeated = again.join(first_texts(again, "whole", EXACT_TEXTS), "whole").where("texts >= least and h <> owner").select("doc_id", "h", "line")
     exact = shared.where(F.col("texts") >= LEAST_TEXTS).select("masked", "owner")
     # Leaves with enough lines. Those that recur as they are take part: in a large corpus all lines of a template may.
-    leaves = scratch.table(lines.where("leaf is not null").select("leaf", "masked").distinct().groupBy("leaf").agg(F.count("*").alias("lines")).where(F.col("lines") >= LEAST_TEXTS), "leaves")
-    parsed = _tokens(docs, _leaf_bitmap(leaves)).join(leaves, "leaf", "left_semi")
+    long_lines = lines.where(F.size("tokens") > 0)
+    leaves = scratch.table(long_lines.select("leaf", "masked").distinct().groupBy("leaf").agg(F.count("*").alias("lines")).where(F.col("lines") >= LEAST_TEXTS), "leaves")
+    parsed = long_lines.select("leaf", "masked", "tokens").join(leaves, "leaf", "left_semi")
     parsed = scratch.table(parsed.groupBy("leaf", "masked").agg(F.first("tokens").alias("tokens")), "parsed")
     placed = parsed.select("leaf", "masked", F.size("tokens").alias("n"), F.posexplode("tokens").alias("place", "token"))
     have = placed.groupBy("leaf", "place", "token").agg(F.count("*").alias("have")).where(F.col("have") >= LEAST_TEXTS)
@@ -154,7 +128,7 @@ def recurring_lines(docs: DataFrame, scratch: Scratch) -> DataFrame:
     templates = constants.where(F.col("constants") * 100 >= F.col("n") * CONSTANT_PERCENT).select("masked", F.xxhash64("leaf", "mark").alias("template"))
     templated = scratch.table(lines.join(templates, "masked"), "templated")
     general = first_texts(templated, "template", LEAST_TEXTS)
-    of_masked, of_template = (x.where("h <> owner").select("doc_id", "h", "line") for x in (again.where("leaf is not null").join(exact, "masked"), templated.join(general, "template")))
+    of_masked, of_template = (x.where("h <> owner").select("doc_id", "h", "line") for x in (again.where(F.size("tokens") > 0).join(exact, "masked"), templated.join(general, "template")))
     return repeated.union(of_masked).union(of_template).distinct()
 
 
@@ -163,10 +137,9 @@ def drop_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     Lines end at line feeds. Exact copies of a text count as one text and are treated alike, so they stay for a document-level
     operator. A text left without any line becomes empty; null stays null and has no lines; an empty text has one, which is empty. Rows may repeat, ids may be
-    null. Other columns stay, but for n_lines and n_dropped, which are replaced.
+    null. An empty table stays empty. Texts may be of any length and have any number of lines. Other columns stay; where one is named n_lines or n_dropped, the new one's name gets underscores until it is new.
     """
     scratch = Scratch(docs.sparkSession, "lines")
-    docs = docs.drop("n_lines", "n_dropped")
     text = F.col(f"`{text_col}`")
     keyed = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("h"), F.coalesce(text, F.lit("")).alias("text"))
     own = uuid.uuid4().hex  # no name of docs
@@ -174,11 +147,21 @@ def drop_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
     drop = recurring_lines(keyed, scratch).groupBy(F.col("h").alias(h)).agg(F.collect_set(F.col("line").cast("int")).alias(lines))
     drop = Scratch(docs.sparkSession, "lines").table(drop, "drop", keep=True)
     scratch.drop()
-    kept = docs.join(told(drop, F.size(lines) + 1), text_hash(text_col) == F.col(h), "left")
+    kept = docs.join(drop, text_hash(text_col) == F.col(h), "left")
     split = F.split(text, "\n", -1)
-    left = F.when(F.col(lines).isNull(), text).otherwise(F.array_join(F.filter(split, lambda _, i: ~F.array_contains(lines, i)), "\n"))
     return kept.select(
-        *(left.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns),
-        F.coalesce(F.size(split), F.lit(0)).cast("long").alias("n_lines"),
-        F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_dropped"),
+        *(F.when(F.col(lines).isNull(), text).otherwise(_without(split, F.col(lines))).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns),
+        F.coalesce(F.size(split), F.lit(0)).cast("long").alias(fresh(docs.columns, "n_lines")),
+        F.coalesce(F.size(lines), F.lit(0)).cast("long").alias(fresh(docs.columns, "n_dropped")),
+    )
+
+
+def _without(split: Column, gone: Column) -> Column:
+    """The lines whose numbers aren't in gone, joined again: numbers and lines are sorted together, so a line that goes has its number before it."""
+    rows = F.concat(
+        F.transform(gone, lambda i: F.struct(i.alias("i"), F.lit(1).alias("line"), F.lit("").alias("text"))),
+        F.transform(split, lambda x, i: F.struct(i.alias("i"), F.lit(2).alias("line"), x.alias("text"))),
     )
+    before = lambda e: F.concat(F.array(F.struct(F.lit(-1).alias("i"), F.lit(1).alias("line"), F.lit("").alias("text"))), F.slice(e, F.lit(1), F.size(e) - 1))
+    kept = lambda e: F.zip_with(e, before(e), lambda x, y: F.when((x["line"] == 2) & ((y["line"] == 2) | (x["i"] != y["i"])), x["text"]))
+    return F.array_join(F.transform(F.array(F.sort_array(rows)), kept)[0], "\n")

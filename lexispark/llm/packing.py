@@ -1,7 +1,7 @@
 """Packing: first-fit decreasing over a tournament tree of bin capacities, in randomised groups.
 
 A document's token ids, then the closing id, are cut into pieces of at most one
-sequence's length. Full pieces are sequences by themselves. The others are dealt into groups by a stored hash, and each
+sequence's length. Full pieces are sequences by themselves. Documents are dealt into groups by a hash of their id and text, and each
 group is packed on its own: longest piece first, each into the first bin with room, which the
 tree of the bins' capacities finds in as many steps as it has levels.
 """
@@ -20,10 +20,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import ngrams
-from .common import Scratch, map_batches, partitions_for
+from .common import Scratch, map_batches, partitions_for, text_hash
 
-#: Pieces in a group, about.
-GROUP_PIECES = 16384
+#: Documents in a group, about.
+GROUP_DOCUMENTS = 16384
 #: Words whose ids a worker remembers; beyond that it starts anew.
 REMEMBERED = 1 << 19
 
@@ -167,11 +167,10 @@ class WordTokenizer:
 
 
 def cut(docs: DataFrame, tokenizer: str, closing_id: int, length: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, start, length, ids_crc32, doc_tokens, salt): the pieces of each row of docs, in order."""
+    """(doc_id, h, start, length, ids_crc32, doc_tokens): the pieces of each row of docs, in order; h is the text's xxhash64."""
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, end, step = WordTokenizer.get(tokenizer), np.array([closing_id], dtype="<u4").tobytes(), 4 * length
-        seen = 0
         for whole in batches:
             for lo in range(0, whole.num_rows, 1024):
                 b = whole.slice(lo, 1024)
@@ -185,16 +184,13 @@ def cut(docs: DataFrame, tokenizer: str, closing_id: int, length: int, id_col: s
                         size.append(len(piece) // 4)
                         crc.append(zlib.crc32(piece))
                         total.append(len(ids) // 4)
-                ids_of = b.column("doc_id").take(pa.array(row, pa.int64()))
-                # Copies get different salts by their place in the task's rows.
-                salt = [zlib.crc32(b"%d %d %d" % (c, s, seen + r)) for c, s, r in zip(crc, start, row, strict=True)]
-                seen += b.num_rows
+                at = pa.array(row, pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [ids_of, *(pa.array(x, pa.int64()) for x in (start, size, crc, total, salt))], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "salt"]
+                    [b.column("doc_id").take(at), b.column("h").take(at), *(pa.array(x, pa.int64()) for x in (start, size, crc, total))], names=["doc_id", "h", "start", "length", "ids_crc32", "doc_tokens"]
                 )
 
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    return map_batches(rows, pieces, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, salt long")
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text_hash(text_col).alias("h"), F.col(f"`{text_col}`").alias("text"))
+    return map_batches(rows, pieces, "doc_id long, h long, start long, length long, ids_crc32 long, doc_tokens long")
 
 
 class CapacityTree:
@@ -237,19 +233,23 @@ def pack(docs: DataFrame, tokenizer: str, closing_id: int = 1, capacity: int = 2
     """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset) of each piece of each row.
 
     Null and empty texts have one piece, the closing id. Rows may repeat and ids may be null; each row is packed
-    for itself. An empty table gives an empty result. Other columns are ignored. The pieces are written to the shared folder
-    before they are dealt into groups, so a task that is run again deals as before, and their texts aren't tokenized twice.
+    for itself. An empty table gives an empty result. Texts may be of any length. Other columns are ignored. The pieces are written to the shared folder
+    before they are dealt into groups, so their texts aren't tokenized twice. All pieces of a document are in its group, and which group that is
+    depends on its id and text and on the number of rows only, not on how the input is split; rows equal in both are numbered, so that they go to different groups.
     sequence_id has the group above bit 32 and the bin in the group below.
     """
     scratch = Scratch(docs.sparkSession, "packing")
     pieces = scratch.table(cut(docs, tokenizer, closing_id, capacity, id_col, text_col), "pieces", keep=True)
-    groups = partitions_for(pieces.count(), GROUP_PIECES)
+    groups = partitions_for(pieces.where("start = 0").count(), GROUP_DOCUMENTS)
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
     names = [x.split()[0] for x in schema.split(", ")]
+    # Equal rows are counted first and numbered then, so their number is no load on one task.
+    counted = pieces.groupBy(*pieces.columns).agg(F.count("*").alias("rows"))
+    dealt = counted.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows")))).withColumn("salt", F.xxhash64("doc_id", "h", "copy"))
 
     def packed(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        table = table.sort_by([(c, "ascending") for c in ("salt", "doc_id", "start")])
+        table = table.sort_by([(c, "ascending") for c in ("salt", "start", "doc_id", "h", "copy")])
         bins, offsets = first_fit_decreasing(table.column("length").to_numpy(), capacity)
         return pa.table([*(table.column(c) for c in names[:5]), pa.array((key[0].as_py() << 32) + bins), pa.array(offsets)], names=names)
 
-    return pieces.withColumn("bucket", F.pmod("salt", F.lit(groups))).groupBy("bucket").applyInArrow(packed, schema)
+    return dealt.withColumn("bucket", F.pmod("salt", F.lit(groups))).groupBy("bucket").applyInArrow(packed, schema)

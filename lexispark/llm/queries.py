@@ -141,6 +141,60 @@ ORACLE: dict[str, str] = {
         SELECT d.id AS doc_id, i.id AS item_id, z.n AS item_shingles, count(*) AS shared_shingles, CAST(count(*) AS DOUBLE) / z.n AS containment
         FROM shingles AS i JOIN shingles AS d ON i.s = d.s JOIN sizes AS z ON z.id = i.id
         WHERE i.item AND NOT d.item GROUP BY d.id, i.id, z.n HAVING 100 * count(*) >= 80 * z.n""",
+    "op8_ngram_jaccard_join": """
+        WITH RECURSIVE words AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+        ), shingles AS (
+            SELECT DISTINCT doc_id, w[i : i + 2] AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 1, 2))) AS i FROM words WHERE len(w) > 0) AS p
+        ), sizes AS (
+            SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+        ), sized AS (
+            SELECT doc_id, s, n FROM shingles JOIN sizes USING (doc_id)
+        ), links AS (
+            SELECT a.doc_id AS a, b.doc_id AS b FROM sized AS a JOIN sized AS b ON a.s = b.s AND a.doc_id <> b.doc_id AND 100 * a.n >= 90 * b.n AND 100 * b.n >= 90 * a.n
+            GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))
+        ), reached AS (
+            SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM reached AS r JOIN links AS l ON r.b = l.a
+        )
+        SELECT d.doc_id, coalesce(any_value(z.n), 0) AS n_shingles, min(r.b) AS component_id
+        FROM documents AS d JOIN reached AS r ON r.a = d.doc_id LEFT JOIN sizes AS z ON z.doc_id = d.doc_id GROUP BY d.doc_id""",
+    "op9_line_dedup": """
+        WITH texts AS (
+            SELECT coalesce(text, '') AS text, min(doc_id) AS first FROM documents GROUP BY coalesce(text, '')
+        ), cut AS (
+            SELECT text, first, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS i FROM texts
+        ), words AS (
+            SELECT *, regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM cut
+        ), lines AS (
+            SELECT text, first, i, w, len(w) AS n, CASE WHEN len(w) < 4 AND length(array_to_string(w, '')) < 24 THEN 8 ELSE 2 END AS least,
+                string_split(regexp_replace(array_to_string(w, ' '), '[^ ]*[0-9][^ ]*', '', 'g'), ' ') AS m
+            FROM words WHERE len(w) > 0
+        ), whole AS (
+            SELECT w, count(DISTINCT text) AS texts, arg_min(text, first) AS owner FROM lines GROUP BY w
+        ), masked AS (
+            SELECT m, count(DISTINCT text) AS texts, arg_min(text, first) AS owner FROM lines WHERE n >= 4 GROUP BY m
+        ), members AS (
+            SELECT *, count(*) OVER (PARTITION BY len(m), m[1:3]) AS size FROM masked
+        ), places AS (
+            SELECT m, size, unnest(m) AS token, unnest(range(len(m))) AS place FROM members WHERE size >= 4
+        ), fixed AS (
+            SELECT *, count(*) OVER (PARTITION BY len(m), m[1:3], place, token) AS have FROM places
+        ), template AS (
+            SELECT m, len(m) AS n, m[1:3] AS head, list({'place': place, 'token': token} ORDER BY place) AS kept
+            FROM fixed WHERE have >= 4 AND have * 100 >= size * 5 GROUP BY m HAVING count(*) * 100 >= len(m) * 75
+        ), general AS (
+            SELECT t.n, t.head, t.kept, count(DISTINCT text) AS texts, arg_min(text, first) AS owner FROM lines AS l JOIN template AS t ON l.m = t.m WHERE l.n >= 4 GROUP BY t.n, t.head, t.kept
+        ), gone AS (
+            SELECT l.text, l.i FROM lines AS l JOIN whole AS o ON l.w = o.w WHERE o.texts >= l.least AND o.owner <> l.text
+            UNION SELECT l.text, l.i FROM lines AS l JOIN masked AS o ON l.m = o.m WHERE l.n >= 4 AND o.texts >= 4 AND o.owner <> l.text
+            UNION SELECT l.text, l.i FROM lines AS l JOIN template AS t ON l.m = t.m JOIN general AS o ON o.n = t.n AND o.head = t.head AND o.kept = t.kept WHERE l.n >= 4 AND o.texts >= 4 AND o.owner <> l.text
+        ), kept AS (
+            SELECT c.text, count(*) AS n_lines, count(g.i) AS n_dropped, coalesce(string_agg(c.line, chr(10) ORDER BY c.i) FILTER (WHERE g.i IS NULL), '') AS left_over
+            FROM cut AS c LEFT JOIN gone AS g ON g.text = c.text AND g.i = c.i GROUP BY c.text
+        )
+        SELECT d.doc_id, CASE WHEN d.text IS NULL THEN 0 ELSE k.n_lines END AS n_lines, CASE WHEN d.text IS NULL THEN 0 ELSE k.n_dropped END AS n_dropped,
+            CASE WHEN d.text IS NOT NULL THEN CAST(length(k.left_over) AS BIGINT) END AS kept_chars, CASE WHEN d.text IS NOT NULL THEN sha256(k.left_over) END AS kept_sha256
+        FROM documents AS d JOIN kept AS k ON k.text = coalesce(d.text, '')""",
     "op6_warc": """
         WITH told AS (SELECT page_id, coalesce(html, '') AS html FROM pages), first AS (SELECT html, min(page_id) AS least FROM told GROUP BY html)
         SELECT page_id, CAST(strlen(t.html) AS BIGINT) AS payload_bytes, sha256(t.html) AS payload_digest,

@@ -12,6 +12,8 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import fresh, running
+
 #: The base patterns by kind, in the order of kinds.
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
@@ -44,7 +46,7 @@ PARTS = (
 
 def sample_tokens(spark: SparkSession, rows: int = SAMPLE_ROWS) -> DataFrame:
     """(token, random): labelled tokens made by rule: digests in base 64, in hex and in letters and digits; and names of PARTS joined in usual ways."""
-    n, parts = spark.range(rows), F.array(*map(F.lit, PARTS))
+    n, parts = spark.range(rows), F.split(F.lit(" ".join(PARTS)), " ")
     digest = F.unhex(F.sha2(F.concat(F.lit("token "), F.col("id").cast("string")).cast("binary"), 256))
     random = n.select(
         F.when(F.col("id") % 4 == 0, F.lower(F.hex(digest)))
@@ -85,23 +87,16 @@ def train(samples: DataFrame) -> list[float]:
     return [math.log(table[0][i][j] / sums[0][i]) - math.log(table[1][i][j] / sums[1][i]) for i in range(size) for j in range(size)]
 
 
-def _located(text: Column, matches: Column) -> Column:
-    """array<struct<start, end>> of matches in order, in code points.
+def _located(text: Column, pattern: str) -> Column:
+    """array<struct<start, end, match>> of a pattern's matches in order, in code points.
 
-    A match is where its string next occurs after the match before it: the pattern would have matched at any earlier place of that string.
+    Splitting at the pattern and extracting it give what is between matches and the matches; their lengths add up to places.
     """
-    found = F.aggregate(
-        matches,
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("spans")),
-        lambda acc, m: _append(acc, m, F.call_function("locate", m, text, acc["at"] + 1) - 1),
-        lambda acc: acc["spans"],
-    )
-    return found
-
-
-def _append(acc: Column, m: Column, start: Column) -> Column:
-    end = start + F.length(m)
-    return F.struct(end.alias("at"), F.concat(acc["spans"], F.array(F.struct(start.alias("start"), end.alias("end")))).alias("spans"))
+    gaps, matches = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1))
+    lengths = F.flatten(F.zip_with(gaps, matches, lambda g, m: F.array(F.length(g), F.coalesce(F.length(m), F.lit(0)))))
+    starts = F.filter(running(lengths), lambda _, i: i % 2 == 1)
+    placed = F.zip_with(starts, matches, lambda s, m: F.struct(s.cast("int").alias("start"), (s + F.length(m)).cast("int").alias("end"), m.alias("match")))
+    return F.when(text.rlike(pattern), F.filter(placed, lambda x: x["match"].isNotNull())).otherwise(F.array().cast("array<struct<start:int,end:int,match:string>>"))
 
 
 def _tagged(spans: Column, kind: str) -> Column:
@@ -111,11 +106,10 @@ def _tagged(spans: Column, kind: str) -> Column:
 def base_spans(text: Column) -> Column:
     """array<struct<start, kind, end>>, sorted: leftmost matches of each base pattern that don't overlap, without those that are too short."""
     # All assignments take part in finding places; those with a short value go afterwards.
-    value = lambda s: F.regexp_extract(F.substring(text, s["start"] + 1, s["end"] - s["start"]), ASSIGN, 1)
-    assign = F.filter(_located(text, F.regexp_extract_all(text, F.lit(f"({ASSIGN})"), F.lit(1))), lambda s: F.length(value(s)) >= LEAST["assign"])
+    assign = F.filter(_located(text, ASSIGN), lambda s: F.length(F.regexp_extract(s["match"], ASSIGN, 1)) >= LEAST["assign"])
     # A run that is too short holds no match that is long enough, so these are looked for with their least lengths.
-    access = _located(text, F.regexp_extract_all(text, F.lit(f"AKIA[A-Z0-9]{{{LEAST['access'] - 4},}}"), F.lit(0)))
-    hexes = _located(text, F.regexp_extract_all(text, F.lit(f"[0-9a-f]{{{LEAST['hex']},}}"), F.lit(0)))
+    access = _located(text, f"AKIA[A-Z0-9]{{{LEAST['access'] - 4},}}")
+    hexes = _located(text, f"[0-9a-f]{{{LEAST['hex']},}}")
     return F.sort_array(F.concat(_tagged(assign, "assign"), _tagged(access, "access"), _tagged(hexes, "hex")))
 
 
@@ -129,23 +123,31 @@ def token_ratio(token: Column, ratios: Column) -> Column:
 
 
 def model_spans(text: Column, ratios: list[float]) -> Column:
-    """array<struct<start, kind, end>> of tokens that the random model explains better."""
-    known = F.array(*map(F.lit, ratios))
-    tokens = F.regexp_extract_all(text, F.lit(f"({TOKEN})"), F.lit(1))
-    # Most texts have no such token. Places come from all tokens, in order; a token inside a longer one is behind that one's end.
-    return F.when(F.size(tokens) > 0, _tagged(F.filter(_located(text, tokens), lambda s: token_ratio(F.substring(text, s["start"] + 1, s["end"] - s["start"]), known) > MARGIN), "markov"))
+    """array<struct<start, kind, end>> of tokens that the random model explains better; a token inside a longer one is no token."""
+    known = F.split(F.lit(",".join(map(repr, ratios))), ",").cast("array<double>")  # folded into one literal
+    return _tagged(F.filter(_located(text, TOKEN), lambda s: token_ratio(s["match"], known) > MARGIN), "markov")
+
+
+def uncovered(spans: Column, base: Column) -> Column:
+    """Those of spans that no span of base covers; both are (start, kind, end), and kinds of base come first."""
+    events = lambda both: F.zip_with(both, running(F.transform(both, lambda s: F.when(s["kind"] < KINDS.index("markov"), s["end"]).otherwise(F.lit(0))), largest=True), lambda s, far: F.struct(s.alias("span"), far.alias("far")))
+    own = lambda e: (e["span"]["kind"] == KINDS.index("markov")) & (e["span"]["end"] > e["far"])
+    # In order of starts, a span is covered if a base span before it ends behind its end.
+    return F.transform(F.array(F.sort_array(F.concat(base, spans))), lambda both: F.transform(F.filter(events(both), own), lambda e: e["span"]))[0]
 
 
 def scan(docs: DataFrame, ratios: list[float], text_col: str = "text") -> DataFrame:
-    """docs with base_spans and spans, arrays of (start, kind, end) sorted by start, then kind; they replace columns of those names.
+    """docs with base_spans and spans, arrays of (start, kind, end) sorted by start, then kind; a name that docs has already gets underscores until it is new.
 
     kind is a place in KINDS. Spans are in code points, end exclusive. Null text counts as empty and has none.
-    A model's span that a base span covers isn't reported again. Rows may repeat; an empty table stays empty.
+    A model's span that a base span covers isn't reported again. Rows may repeat; an empty table stays empty. Texts may be of any
+    length and have any number of matches: the work grows with the length, but for one sort of the matches.
     """
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    based = docs.drop("base_spans", "spans").withColumn("base_spans", base_spans(text))
-    own = F.filter(F.coalesce(model_spans(text, ratios), F.array().cast("array<struct<start:int,kind:int,end:int>>")), lambda m: ~F.exists("base_spans", lambda b: (b["start"] <= m["start"]) & (m["end"] <= b["end"])))
-    return based.withColumn("spans", F.sort_array(F.concat("base_spans", own)))
+    base_name, name = fresh(docs.columns, "base_spans"), fresh(docs.columns, "spans")
+    base, found = F.col(f"`{base_name}`"), model_spans(text, ratios)
+    based = docs.withColumn(base_name, base_spans(text))
+    return based.withColumn(name, F.transform(F.array(found), lambda own: F.when(F.size(own) > 0, F.sort_array(F.concat(base, uncovered(own, base)))).otherwise(base))[0])
 
 
 def joined(spans: Column) -> Column:

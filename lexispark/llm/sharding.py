@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, map_batches
+from .common import Scratch, fresh, map_batches
 
 ROUNDS = 6
 
@@ -69,34 +69,34 @@ def assign_shards(df: DataFrame, keys: list[str], shards: int, seed: int = 0) ->
     Rows are numbered by a range exchange on `keys`, which should hold a row's identity
     (rows equal in all keys are numbered in an arbitrary order, nulls come first). The exchange is written to
     the shared folder, as its partitions' sizes are needed before the numbers are: the
-    driver sees one count per partition, never rows. An empty table stays empty. Columns of df that are
-    named like the new ones are replaced.
+    driver sees one count per partition, never rows. An empty table stays empty. Rows may repeat, keys may be null, texts may be of any
+    length. A new column whose name df has already gets underscores until it is new.
     """
     spark = df.sparkSession
-    df = df.drop("global_row", "shard", "slot", "__part", "__at")
+    id_name, part_name, at_name, *new_names = (fresh(df.columns, c) for c in ("__id", "__part", "__at", "global_row", "shard", "slot"))
     quoted = [F.col(f"`{k}`") for k in keys]
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     laid = df.repartitionByRange(parts, *quoted).sortWithinPartitions(*quoted)
-    laid = laid.withColumn("__id", F.monotonically_increasing_id()).select("*", F.shiftright("__id", 33).cast("int").alias("__part"), F.col("__id").bitwiseAND(F.lit((1 << 33) - 1)).alias("__at")).drop("__id")
+    laid = laid.withColumn(id_name, F.monotonically_increasing_id()).select("*", F.shiftright(id_name, 33).cast("int").alias(part_name), F.col(id_name).bitwiseAND(F.lit((1 << 33) - 1)).alias(at_name)).drop(id_name)
     scratch = Scratch(spark, "sharding")
     laid = scratch.table(laid, "rows", keep=True)
-    counts = {r["__part"]: r["n"] for r in laid.groupBy("__part").agg(F.count("*").alias("n")).collect()}
+    counts = {r["part"]: r["rows"] for r in laid.groupBy(F.col(part_name).alias("part")).agg(F.count("*").alias("rows")).collect()}
     first, total = {}, 0
     for part in sorted(counts):
         first[part] = total
         total += counts[part]
     net = Feistel(total, seed)
 
-    fields = [f for f in laid.schema.fields if f.name not in ("__part", "__at")]
-    schema = T.StructType([*fields, T.StructField("global_row", T.LongType()), T.StructField("shard", T.IntegerType()), T.StructField("slot", T.LongType())])
+    fields = [f for f in laid.schema.fields if f.name not in (part_name, at_name)]
+    schema = T.StructType([*fields, *(T.StructField(c, t) for c, t in zip(new_names, (T.LongType(), T.IntegerType(), T.LongType()), strict=True))])
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
                 continue
-            part = b.column("__part").to_numpy(zero_copy_only=False)
+            part = b.column(part_name).to_numpy(zero_copy_only=False)
             known, back = np.unique(part, return_inverse=True)
-            row = b.column("__at").to_numpy() + np.array([first[int(p)] for p in known], dtype=np.int64)[back]
+            row = b.column(at_name).to_numpy() + np.array([first[int(p)] for p in known], dtype=np.int64)[back]
             place = net.forward(row)
             new = [pa.array(row), pa.array((place % np.uint64(shards)).astype(np.int32)), pa.array((place // np.uint64(shards)).astype(np.int64))]
             yield pa.RecordBatch.from_arrays([b.column(f.name) for f in fields] + new, names=schema.names)
