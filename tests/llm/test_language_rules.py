@@ -40,7 +40,7 @@ def test_the_sample_is_bounded_in_all(spark, monkeypatch):
     monkeypatch.setattr(language, "ROWS_IN_ALL", 40)
     rows = [(i, f"text {i}", f"l{i % 20:02}") for i in range(2000)]
     texts, labels = language.labelled_sample(spark.createDataFrame(rows, "key bigint, text string, lang string"))
-    assert sorted(labels) == sorted([f"l{i:02}" for i in range(20)] * 2) and len(set(texts)) == 40
+    assert sorted(labels) == sorted([f"l{i:02}" for i in range(20)] * 2) and len(texts) == 40
 
 
 def test_long_texts_and_copies_leave_no_language_out(spark, monkeypatch):
@@ -49,4 +49,7 @@ def test_long_texts_and_copies_leave_no_language_out(spark, monkeypatch):
     rows = [(i, f"{i} {long}", "long") for i in range(3)] + [(7, "the same text again", "copies")] * 3000 + [(100 + i, f"{i} another text", "copies") for i in range(30)] + [(5000, "seul", "few"), (5001, f"x {long}", "few")]
     texts, labels = language.labelled_sample(spark.createDataFrame(rows, "key bigint, text string, lang string"))
     assert {x: labels.count(x) for x in labels} == {"long": 3, "copies": 10, "few": 1}
-    assert len(set(texts)) == len(texts) and max(map(len, texts)) <= 64 << 10
+    period = ("übermäßig öde " * 2).encode()
+    whole = {n << 24 | int.from_bytes(period[i : i + n], "big") for n in (1, 2, 3) for i in range(len(period) - n)}
+    assert all(whole <= set(codes.tolist()) for codes, x in zip(texts, labels, strict=True) if x == "long")  # of whole texts
+    assert sum(len(codes) < 40 for codes, x in zip(texts, labels, strict=True) if x == "copies") == 10
