@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexispark.llm import decontaminate, jaccard_join, language, line_dedup, packing
-from lexispark.llm.common import Scratch, read_table
+from lexispark.llm.common import Scratch, fresh, kept_tables, read_table, release
 from lexispark.llm.queries import tokenizer_path
 
 
@@ -18,12 +18,12 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Keeps documents in a language that the labelled ones have, by prediction; those without letters or in no learned language go."""
     model = language.KernelModel.fit(*language.labelled_sample(docs.select(F.col("doc_id").alias("key"), "text", "lang")))
     found = language.predict(docs, model, reject=True)
-    return found.where(F.col("lang_pred") != language.UNDETERMINED).select(*docs.columns)
+    return found.where(F.col(fresh(docs.columns, "lang_pred")) != language.UNDETERMINED).select(*docs.columns)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops recurring lines; documents of which nothing is left go, and n_chars follows the text."""
-    found = line_dedup.drop_recurring_lines(docs).where((F.col("n_dropped") == 0) | F.col("text").rlike(r"\S"))
+    found = line_dedup.drop_recurring_lines(docs).where((F.col(fresh(docs.columns, "n_dropped")) == 0) | F.col("text").rlike(r"\S"))
     return found.select(*(F.length("text").cast("long").alias(c) if c == "n_chars" else c for c in docs.columns))
 
 
@@ -55,8 +55,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scratch = Scratch(spark, "pipeline")
-    docs = read_table(spark, sf_dir, "documents")
+    docs, previous = read_table(spark, sf_dir, "documents"), []
     for name, stage in STAGES:
-        docs = scratch.table(stage(spark, docs, sf_dir), name.replace(" ", "-"), keep=True)
+        before = kept_tables()
+        made = stage(spark, docs, sf_dir)
+        used = [t for t in kept_tables() if t not in before]
+        docs = Scratch(spark, "pipeline").table(made, name.replace(" ", "-"), keep=True)
+        release(spark, used + previous)
+        previous = kept_tables()[-1:]
     return docs
