@@ -147,7 +147,8 @@ def drop_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
     drop = recurring_lines(keyed, scratch).groupBy(F.col("h").alias(h)).agg(F.collect_set(F.col("line").cast("int")).alias(lines))
     drop = Scratch(docs.sparkSession, "lines").table(drop, "drop", keep=True)
     scratch.drop()
-    kept = docs.join(drop, text_hash(text_col) == F.col(h), "left")
+    # One plan at every size: texts are shuffled once, whether few or many have lines to drop.
+    kept = docs.join(drop.hint("merge"), text_hash(text_col) == F.col(h), "left")
     split = F.split(text, "\n", -1)
     return kept.select(
         *(F.when(F.col(lines).isNull(), text).otherwise(_without(split, F.col(lines))).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns),
