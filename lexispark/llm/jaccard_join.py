@@ -200,7 +200,7 @@ def _verified(pairs: DataFrame, where: DataFrame, docs: DataFrame, k: int, perce
     degrees = pairs.select(F.explode(F.array("a", "b")).alias("v")).groupBy("v").agg(F.count("*").alias("pairs"))
     wanted = scratch.table(degrees.join(where, "v").select("v", "pairs", "n", F.col("doc_id").alias("__d"), F.col("h").alias("__h")), "wanted")
     texts = docs.join(wanted, (F.col("h") == F.col("__h")) & F.col("doc_id").eqNullSafe(F.col("__d"))).groupBy("v").agg(F.first("text").alias("text"))
-    texts = scratch.table(texts, "texts")
+    texts = scratch.table(texts, "texts").hint("merge")  # one plan at every size
     side = lambda x: wanted.select(F.col("v").alias(x), F.col("pairs").alias(f"pairs_{x}"), F.col("n").alias(f"n_{x}"))
     turned = F.col("pairs_a") >= F.col("pairs_b")
     pick = lambda x, y, name: F.when(turned, F.col(x)).otherwise(F.col(y)).alias(name)
