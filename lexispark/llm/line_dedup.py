@@ -104,7 +104,9 @@ def _lines(docs: DataFrame) -> DataFrame:
 
 def recurring_lines(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """(doc_id, h, line) of lines to drop from docs (doc_id, h, text); h tells texts apart."""
-    lines = scratch.table(_lines(docs), "lines")
+    whole_lines = scratch.table(_lines(docs), "lines")
+    # Joins below don't carry tokens along.
+    lines = whole_lines.select("doc_id", "h", "line", "whole", "masked", "least", (F.size("tokens") > 0).alias("parsed"))
 
     def first_texts(df: DataFrame, key: str, least: int) -> DataFrame:
         """(key, texts, owner) of keys that `least` different texts have; the owner is the text of the smallest doc_id."""
@@ -113,11 +115,11 @@ def recurring_lines(docs: DataFrame, scratch: Scratch) -> DataFrame:
 
     # Lines that are equal are equal when masked, so those that recur as they are are among these.
     shared = scratch.table(first_texts(lines, "masked", min(EXACT_TEXTS, LEAST_TEXTS)), "shared")
-    again = scratch.table(lines.join(shared.select("masked"), "masked", "left_semi"), "again")
+    again = scratch.table(lines.join(shared.select("masked").hint("merge"), "masked", "left_semi"), "again")
     repeated = again.join(first_texts(again, "whole", EXACT_TEXTS), "whole").where("texts >= least and h <> owner").select("doc_id", "h", "line")
     exact = shared.where(F.col("texts") >= LEAST_TEXTS).select("masked", "owner")
     # Leaves with enough lines. Those that recur as they are take part: in a large corpus all lines of a template may.
-    long_lines = lines.where(F.size("tokens") > 0)
+    long_lines = whole_lines.where(F.size("tokens") > 0)
     leaves = scratch.table(long_lines.select("leaf", "masked").distinct().groupBy("leaf").agg(F.count("*").alias("lines")).where(F.col("lines") >= LEAST_TEXTS), "leaves")
     parsed = long_lines.select("leaf", "masked", "tokens").join(leaves, "leaf", "left_semi")
     parsed = scratch.table(parsed.groupBy("leaf", "masked").agg(F.first("tokens").alias("tokens")), "parsed")
@@ -128,7 +130,7 @@ def recurring_lines(docs: DataFrame, scratch: Scratch) -> DataFrame:
     templates = constants.where(F.col("constants") * 100 >= F.col("n") * CONSTANT_PERCENT).select("masked", F.xxhash64("leaf", "mark").alias("template"))
     templated = scratch.table(lines.join(templates, "masked"), "templated")
     general = first_texts(templated, "template", LEAST_TEXTS)
-    of_masked, of_template = (x.where("h <> owner").select("doc_id", "h", "line") for x in (again.where(F.size("tokens") > 0).join(exact, "masked"), templated.join(general, "template")))
+    of_masked, of_template = (x.where("h <> owner").select("doc_id", "h", "line") for x in (again.where("parsed").join(exact, "masked"), templated.join(general, "template")))
     return repeated.union(of_masked).union(of_template).distinct()
 
 
