@@ -73,6 +73,17 @@ def below_fraction(z: Column, fraction: float) -> Column:
     return as_double < F.lit(fraction * float(_WORD))
 
 
+def within_capacity(t: LogicalType, i: Column) -> Column:
+    """Whether a type has an i-th value: its index is below the capacity, which a long may not reach."""
+    n = capacity(t)
+    return (i >= 0) & (F.lit(True) if n >= 1 << 63 else i < F.lit(n))
+
+
+def checked_nth(t: LogicalType, i: Column) -> Column:
+    """nth(), but an index without a value is an error when it is met, and never wraps."""
+    return F.when(within_capacity(t, i), nth(t, i)).otherwise(F.raise_error(F.concat(F.lit(f"{t} has no value number "), i.cast("string"))))
+
+
 def nth(t: LogicalType, i: Column) -> Column:
     """The i-th value of a type: different for different i below its capacity, growing with i where the type is orderable."""
     if t.name in INTEGER_BITS or t.name in ("FLOAT", "DOUBLE", "DECIMAL"):

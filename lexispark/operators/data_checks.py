@@ -25,13 +25,33 @@ def count_nulls(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def null_rows(df: DataFrame, column: str, limit: int = 5) -> DataFrame:
-    """The first rows (from 1, in their file) with a null, for tables of Parquet files."""
-    return df.where(F.col(quoted(column)).isNull()).select((F.col("_metadata.row_index") + 1).alias("row")).orderBy("row").limit(limit)
+    """The first rows with a null, numbered from 1 through all of a table's Parquet files in the order of their paths.
+
+    The first rows by file and place are found before files are counted, so only a few rows meet the files' numbers of rows, which footers tell.
+    """
+    place = df.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("place"), F.col(quoted(column)).isNull().alias("gone"))
+    first = place.where("gone").select("file", "place").orderBy("file", "place").limit(limit)
+    files = df.select(F.col("_metadata.file_path").alias("file")).groupBy("file").agg(F.count("*").alias("rows"))
+    before = files.select("file", (F.sum("rows").over(Window.orderBy("file")) - F.col("rows")).alias("before"))  # a row for each file
+    return first.join(before, "file").select((F.col("before") + F.col("place") + 1).alias("row")).orderBy("row")
+
+
+#: Longer texts are told apart by their SHA-256, so that whole texts needn't be shuffled.
+_LONGEST_KEY = 64
+
+
+def _key(df: DataFrame, column: str) -> Column:
+    c, kind = F.col(quoted(column)), df.schema[column].dataType.typeName() if column in df.columns else ""
+    if kind == "string":  # what stands for a long text is itself too long to be a text that stands for itself
+        return F.when(F.octet_length(c) > _LONGEST_KEY, F.concat(F.lit("sha256:"), F.sha2(c.cast("binary"), 256))).otherwise(c)
+    if kind == "binary":
+        return F.when(F.octet_length(c) > _LONGEST_KEY, F.concat(F.lit(b"sha256:"), F.sha2(c, 256).cast("binary"))).otherwise(c)
+    return c
 
 
 def duplicate_keys(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """D02: different values of a key, of all its columns together, that more than one row has. Nulls are values and equal each other."""
-    return df.groupBy(*(F.col(quoted(c)).alias(f"k{i}") for i, c in enumerate(columns))).agg(F.count("*").alias("n")).where("n > 1").agg(F.count("*").alias("n"))
+    return df.groupBy(*(_key(df, c).alias(f"k{i}") for i, c in enumerate(columns))).agg(F.count("*").alias("n")).where("n > 1").agg(F.count("*").alias("n"))
 
 
 def duplicate_values(df: DataFrame, column: str) -> DataFrame:
@@ -49,25 +69,31 @@ def orphaned_values(fk: DataFrame, fk_column: str, pk: DataFrame, pk_column: str
 def overmatched_rows(probe: DataFrame, other: DataFrame, conjuncts: Sequence[tuple[str, str, str]]) -> DataFrame:
     """D05: probe rows that match more than one row of the other side under all of (probe column, op, other column).
 
-    A null matches nothing. Both sides are first counted by their join values. Equalities then need no pairs of rows;
-    a closed or open interval is swept; any other comparison is met by counting too, or compared pair by pair of values under its equalities.
+    A null matches nothing; NaN equals NaN and is greater than any number. Both sides are first counted by their join values. Equalities then need no pairs of rows;
+    one column's interval, closed, open or one-sided, is swept, and so are two comparisons of different columns; anything else is compared within ranges of one column.
     """
     p_names, o_names = [f"p{i}" for i in range(len(conjuncts))], [f"o{i}" for i in range(len(conjuncts))]
-    p = probe.select(*(F.col(quoted(c)).alias(n) for (c, _, _), n in zip(conjuncts, p_names, strict=True))).dropna().groupBy(*p_names).agg(F.count("*").alias("p_rows"))
-    o = other.select(*(F.col(quoted(c)).alias(n) for (_, _, c), n in zip(conjuncts, o_names, strict=True))).dropna().groupBy(*o_names).agg(F.count("*").alias("o_rows"))
+    p, o = (_counted(df, columns, names, rows) for df, columns, names, rows in ((probe, [c for c, _, _ in conjuncts], p_names, "p_rows"), (other, [c for _, _, c in conjuncts], o_names, "o_rows")))
     ranges = [i for i, (_, op, _) in enumerate(conjuncts) if op != "="]
     equal = [i for i, (_, op, _) in enumerate(conjuncts) if op == "="]
     if not ranges:
         many = o.where("o_rows > 1")
         met = p.join(many, reduce(operator.and_, (F.col(f"p{i}") == F.col(f"o{i}") for i in equal)), "left_semi")
-        return met.agg(F.coalesce(F.sum("p_rows"), F.lit(0)).cast("bigint").alias("n"))
-    if swept := _sweepable(conjuncts, ranges):
-        return _swept(p, o, conjuncts, equal, *swept)
-    cond = reduce(operator.and_, (_OPS[op](F.col(f"p{i}"), F.col(f"o{i}")) for i, (_, op, _) in enumerate(conjuncts)))
-    met = p.join(o, cond).groupBy(*p_names, "p_rows").agg(F.sum("o_rows").alias("matches")).where("matches > 1")
+    elif swept := _sweepable(conjuncts, ranges):
+        met = _swept(p, o, conjuncts, equal, *swept)
+    elif len(ranges) == 2:
+        met = _two_ranges(p, o, conjuncts, equal, *ranges)
+    else:
+        met = _compared(p, o, conjuncts, equal, ranges[0])
     return met.agg(F.coalesce(F.sum("p_rows"), F.lit(0)).cast("bigint").alias("n"))
 
 
+def _counted(df: DataFrame, columns: Sequence[str], names: list[str], rows: str) -> DataFrame:
+    """Different values of columns without nulls, and how many rows have them."""
+    kept = df.select(*(F.col(quoted(c)).alias(n) for c, n in zip(columns, names, strict=True))).where(reduce(operator.and_, (F.col(n).isNotNull() for n in names)))
+    return kept.groupBy(*names).agg(F.count("*").alias(rows))
+
+
 def _sweepable(conjuncts: Sequence[tuple[str, str, str]], ranges: list[int]) -> tuple[int | None, int | None] | None:
     """(lower, upper) conjunct of one probe column's interval, either of which may be missing; None for other shapes."""
     if len({conjuncts[i][0] for i in ranges}) != 1:
@@ -79,12 +105,35 @@ def _sweepable(conjuncts: Sequence[tuple[str, str, str]], ranges: list[int]) ->
     return (lower[0] if lower else None), (upper[0] if upper else None)
 
 
+#: Ranges that an axis is cut into, at most, and values drawn for each cut.
+MOST_RANGES, DRAWN = 256, 64
+
+
+def _range_of(events: DataFrame, x: str = "x") -> Callable[[Column], Column]:
+    """A function of an axis' values that grows with them: the number of the range they are in. Equal values never part.
+
+    Cuts are quantiles of a draw by hash, of any type that can be ordered; at most MOST_RANGES * DRAWN values reach the driver.
+    """
+    n = min(MOST_RANGES, int(events.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    drawn = [r["x"] for r in events.select(F.col(x).alias("x"), F.xxhash64(x).alias("u")).orderBy("u").limit(n * DRAWN).select("x").orderBy("x").collect()] if n > 1 else []
+    cuts = [drawn[len(drawn) * i // n] for i in range(1, n)] if drawn else []
+    kind = events.schema[x].dataType
+
+    def tree(value: Column, lo: int, hi: int) -> Column:
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        return F.when(value > F.lit(cuts[mid]).cast(kind), tree(value, mid + 1, hi)).otherwise(tree(value, lo, mid))
+
+    return lambda value: tree(value, 0, len(cuts))
+
+
 def _swept(p: DataFrame, o: DataFrame, conjuncts: Sequence[tuple[str, str, str]], equal: list[int], lower: int | None, upper: int | None) -> DataFrame:
     """Matches of each probe value as a running sum of intervals that have begun and not ended.
 
     Interval ends and probe values become events of one ordered axis for each value of the equalities. At one value, ends come before probes where
-    the comparison is strict at the end, beginnings after them where it is strict at the beginning. Without equalities the axis is cut into
-    ranges, whose sums before them are carried over, so no task orders it all.
+    the comparison is strict at the end, beginnings after them where it is strict at the beginning. The axis is cut into
+    ranges, whose sums before them are carried over, so no task orders all of it, nor all of one value of the equalities.
     """
     at = lower if lower is not None else upper
     keys = [f"e{i}" for i in equal]
@@ -100,33 +149,54 @@ def _swept(p: DataFrame, o: DataFrame, conjuncts: Sequence[tuple[str, str, str]]
         events = events.unionByName(o.select(*key_o, lo.alias("x"), F.lit(0 if conjuncts[lower][1] == ">=" else 3).alias("rank"), F.col("o_rows").alias("change"), none))
     if upper is not None:
         events = events.unionByName(o.select(*key_o, hi.alias("x"), F.lit(4 if conjuncts[upper][1] == "<=" else 1).alias("rank"), (-F.col("o_rows")).alias("change"), none))
-    if keys:
-        running = F.sum("change").over(Window.partitionBy(*keys).orderBy("x", "rank").rowsBetween(Window.unboundedPreceding, 0))
-        total = events.where("change < 0").groupBy(*keys).agg((-F.sum("change")).alias("whole")) if lower is None else None
-        live = events.withColumn("matches", running)
-        if total is not None:  # without a lower bound all intervals have begun
-            live = live.join(total, keys, "left").withColumn("matches", F.col("matches") + F.coalesce("whole", F.lit(0)))
-    else:
-        live = _running_by_ranges(events)
-        if lower is None:
-            live = live.withColumn("matches", F.col("matches") + F.lit(o.agg(F.sum("o_rows")).first()[0] or 0))
-    return live.where("p_rows > 0 and matches > 1").agg(F.coalesce(F.sum("p_rows"), F.lit(0)).cast("bigint").alias("n"))
-
-
-def _running_by_ranges(events: DataFrame) -> DataFrame:
-    """events with `matches`, the running sum of change by x and rank, computed range by range of x."""
-    kind, n = dict(events.dtypes)["x"], int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # Equal values of x never part, so ranks within a value stay together. Casts and days keep the order.
-    if kind in ("date", "timestamp", "timestamp_ntz"):
-        part = F.floor(F.datediff(F.col("x").cast("date"), F.lit("1970-01-01").cast("date")) / 30)
-    elif kind in ("tinyint", "smallint", "int", "bigint", "float", "double") or kind.startswith("decimal"):
-        number = F.col("x").cast("double")
-        cuts = sorted(set(events.select(number.alias("x")).approxQuantile("x", [i / n for i in range(1, n)], 0.01))) if n > 1 else []
-        part = reduce(lambda acc, c: acc + (number > F.lit(c)).cast("int"), cuts, F.lit(0))
-    else:
-        part = F.lit(0)
-    cut = events.withColumn("part", part.cast("bigint"))
-    sums = cut.groupBy("part").agg(F.sum("change").alias("own"))  # one row for each range
-    before = sums.select("part", (F.sum("own").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("own")).alias("before"))
-    running = F.sum("change").over(Window.partitionBy("part").orderBy("x", "rank").rowsBetween(Window.unboundedPreceding, 0))
-    return cut.withColumn("inside", running).join(before, "part").withColumn("matches", F.col("inside") + F.col("before"))
+    cut = events.withColumn("part", _range_of(events)(F.col("x")))
+    sums = cut.groupBy(*keys, "part").agg(F.sum("change").alias("own"))  # a row for each range, and value of the equalities
+    ordered = Window.partitionBy(*keys).orderBy("part")
+    # Without a lower bound all intervals have begun before anything else.
+    begun = -F.sum("own").over(Window.partitionBy(*keys)) if lower is None else F.lit(0)
+    before = sums.select(*keys, "part", (F.sum("own").over(ordered.rowsBetween(Window.unboundedPreceding, 0)) - F.col("own") + begun).alias("before"))
+    inside = F.sum("change").over(Window.partitionBy(*keys, "part").orderBy("x", "rank").rowsBetween(Window.unboundedPreceding, 0))
+    return cut.withColumn("inside", inside).join(before, [*keys, "part"]).where((F.col("p_rows") > 0) & (F.col("inside") + F.col("before") > 1))
+
+
+def _two_ranges(p: DataFrame, o: DataFrame, conjuncts: Sequence[tuple[str, str, str]], equal: list[int], first: int, second: int) -> DataFrame:
+    """Probe values with two matches under two comparisons: in the order of the first one's values, the second best value of the other comparison so far tells.
+
+    When a value comes, the lesser of it and the best before it is what may become second best; so both are running maxima (or minima), which ranges carry over.
+    """
+    keys = [f"e{i}" for i in equal]
+    key_p, key_o = [F.col(f"p{i}").alias(f"e{i}") for i in equal], [F.col(f"o{i}").alias(f"e{i}") for i in equal]
+    up, large = conjuncts[first][1] in (">", ">="), conjuncts[second][1] in ("<", "<=")
+    best, lesser, better = (F.max, F.least, F.greatest) if large else (F.min, F.greatest, F.least)
+    kind = o.schema[f"o{second}"].dataType
+    # At one value, what a closed comparison admits comes before probes, and after them what a strict one doesn't.
+    rank = 0 if conjuncts[first][1] in (">=", "<=") else 2
+    probes = p.select(*key_p, F.col(f"p{first}").alias("x"), F.lit(1).alias("rank"), F.lit(None).cast(kind).alias("v"), F.col(f"p{second}").alias("y"), "p_rows")
+    twice = F.explode(F.array_repeat(F.col(f"o{second}"), F.least(F.col("o_rows"), F.lit(2)).cast("int"))).alias("v")
+    values = o.select(*key_o, F.col(f"o{first}").alias("x"), F.lit(rank).alias("rank"), twice, F.lit(None).cast(p.schema[f"p{second}"].dataType).alias("y"), F.lit(0).cast("bigint").alias("p_rows"))
+    events = probes.unionByName(values)
+    part = _range_of(events)(F.col("x"))
+    cut = events.withColumn("part", part if up else -part)
+    x = F.col("x").asc() if up else F.col("x").desc()
+    upto, earlier = (Window.unboundedPreceding, 0), (Window.unboundedPreceding, -1)
+    both = lambda a, b: F.when(a.isNotNull() & b.isNotNull(), lesser(a, b))
+    inside = Window.partitionBy(*keys, "part").orderBy(x, "rank", "v")
+    run = cut.withColumn("was", best("v").over(inside.rowsBetween(*earlier))).withColumn("m", best("v").over(inside.rowsBetween(*upto))).withColumn("next", both(F.col("was"), F.col("v")))
+    run = run.withColumn("s", best("next").over(inside.rowsBetween(*upto)))
+    ranges = run.groupBy(*keys, "part").agg(best("m").alias("rm"), best("s").alias("rs"))  # a row for each range, and value of the equalities
+    ordered = Window.partitionBy(*keys).orderBy("part")
+    carried = ranges.withColumn("bm", best("rm").over(ordered.rowsBetween(*earlier))).withColumn("rs", better(F.col("rs"), both(F.col("rm"), F.col("bm"))))
+    carried = carried.select(*keys, "part", "bm", best("rs").over(ordered.rowsBetween(*earlier)).alias("bs"))
+    found = run.where("p_rows > 0").join(carried, [*keys, "part"]).withColumn("best2", better(F.col("s"), F.col("bs"), both(F.col("m"), F.col("bm"))))
+    return found.where(_OPS[conjuncts[second][1]](F.col("y"), F.col("best2")))
+
+
+def _compared(p: DataFrame, o: DataFrame, conjuncts: Sequence[tuple[str, str, str]], equal: list[int], at: int) -> DataFrame:
+    """Probe values with two matches, by pairs that meet in ranges of one comparison's values: each row of the other side goes to all ranges that its comparison reaches."""
+    axis = p.select(F.col(f"p{at}").alias("x")).union(o.select(F.col(f"o{at}")))
+    part = _range_of(axis)
+    n = F.lit(MOST_RANGES)
+    reach = F.sequence(part(F.col(f"o{at}")), n) if conjuncts[at][1] in (">", ">=") else F.sequence(F.lit(0), part(F.col(f"o{at}")))
+    cond = reduce(operator.and_, (_OPS[op](F.col(f"p{i}"), F.col(f"o{i}")) for i, (_, op, _) in enumerate(conjuncts)))
+    met = p.withColumn("part", part(F.col(f"p{at}"))).join(o.withColumn("o_part", F.explode(reach)), (F.col("part") == F.col("o_part")) & cond)
+    return met.groupBy(*(f"p{i}" for i in range(len(conjuncts))), "p_rows").agg(F.sum("o_rows").alias("matches")).where("matches > 1")

@@ -302,8 +302,8 @@ def _legacy_nulls(t: Table, checked: list[Column], df: DataFrame, base: Path, re
     known: dict[str, int | None] = {}
     if t.parquet is not None:
         try:
-            known = {c.name: c.nulls for c in relations.parquet_columns(relations.resolve(t.parquet.value, base))}
-        except Exception:  # not one local file: only a scan can tell
+            known = {c.name: c.nulls for c in relations.parquet_columns(relations.resolve(t.parquet.value, base), df.sparkSession)}
+        except Exception:  # footers that can't be read: only a scan can tell
             known = {}
     open_columns = [c.name.value for c in checked if known.get(c.name.value) is None]
     scanned = dict(zip(open_columns, data_checks.count_nulls(df, open_columns).first(), strict=True)) if open_columns else {}

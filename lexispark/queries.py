@@ -8,8 +8,9 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import rule_queries
 from .functions.types import capacity, category, orderable, parse_type
-from .functions.values import GOLDEN, STEP_1, STEP_2, mix, nth, salt_hash, unsigned_mod, with_wrapping
+from .functions.values import GOLDEN, STEP_1, STEP_2, mix, nth, salt_hash, unsigned_mod, with_wrapping, within_capacity
 from .operators import data_checks as D
 from .plans.generation import Options
 from .plans.joins import Join
@@ -18,7 +19,7 @@ from .plans.problems import Report
 from .operators.validate import check_rich
 from .plans.spec_rules import check_dictionary
 from .sources.generated import Generator, ddl, expand_typedefs
-from .sources.relations import Frames, describe, legacy_type
+from .sources.relations import Frames, describe, legacy_type, shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -80,9 +81,17 @@ def _(spark, d):
     return D.count_nulls(_labelled(spark, d), ["quality"]).select(F.col("n0").alias("n"))
 
 
-@query("d01_null_sample_rows", "SELECT d.doc_id FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id WHERE l.quality IS NULL ORDER BY d.doc_id LIMIT 5")
+@query(
+    "d01_null_sample_rows",
+    "SELECT row FROM (SELECT row_number() OVER (ORDER BY d.doc_id) AS row, l.quality FROM documents d LEFT JOIN (SELECT DISTINCT ON (doc_id) doc_id, quality FROM labels ORDER BY doc_id) l ON d.doc_id = l.doc_id) AS x WHERE quality IS NULL ORDER BY row LIMIT 5",
+)
 def _(spark, d):
-    return _labelled(spark, d).where(F.col("quality").isNull()).select("doc_id").orderBy("doc_id").limit(5)
+    """The first rows without a label, of a table of several files in the order of doc_id."""
+    labels = read(spark, d, "labels").groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    rows = read(spark, d, "documents").select("doc_id").join(labels, "doc_id", "left")
+    path = shared_folder(spark)
+    rows.repartitionByRange(4, "doc_id").sortWithinPartitions("doc_id").write.parquet(path)
+    return D.null_rows(spark.read.parquet(path), "quality")
 
 
 # --- D02, D03 -------------------------------------------------------------
@@ -167,6 +176,27 @@ _cardinality("d05_supplier_part_open", "supplier", "part", ("s_acctbal", ">", "p
 _cardinality("d05_supplier_customer_two_columns", "supplier", "customer", ("s_nationkey", "=", "c_nationkey"), ("s_acctbal", ">=", "c_acctbal"), ("s_suppkey", "<=", "c_custkey"))
 
 
+_cardinality("d05_two_ranges", "supplier", "customer", ("s_acctbal", ">=", "c_acctbal"), ("s_suppkey", "<=", "c_custkey"))
+_cardinality("d05_two_ranges_strict", "customer", "supplier", ("c_acctbal", "<", "s_acctbal"), ("c_custkey", ">", "s_suppkey"))
+_cardinality("d05_three_ranges", "supplier", "part", ("s_acctbal", ">=", "p_size"), ("s_acctbal", "<=", "p_retailprice"), ("s_suppkey", ">", "p_partkey"))
+_cardinality("d05_texts", "customer", "supplier", ("c_name", ">=", "s_name"))
+_NAN = {"p": ("supplier", "s_acctbal", "s_suppkey"), "o": ("customer", "c_acctbal", "c_custkey")}
+
+
+def _with_nan(spark, d, side: str) -> DataFrame:
+    """(x, k): amounts in hundreds, NaN where the key divides by seven and null where it divides by eleven."""
+    table, x, k = _NAN[side]
+    key, value = F.col(k), F.round(F.col(x) / 100)
+    return read(spark, d, table).select(F.when(key % 11 == 0, F.lit(None)).when(key % 7 == 0, F.lit(float("nan"))).otherwise(value).alias("x"), key.alias("k"))
+
+
+for _op, _word in (("=", "equal"), (">=", "at_least"), ("<", "below")):
+    _sides = ", ".join(f"{side} AS (SELECT CASE WHEN {k} % 11 = 0 THEN NULL WHEN {k} % 7 = 0 THEN 'NaN'::DOUBLE ELSE round({x} / 100) END AS x, {k} AS k FROM {table})" for side, (table, x, k) in _NAN.items())
+    query(f"d05_nan_{_word}", f"WITH {_sides} SELECT count(*) AS n FROM p WHERE (SELECT count(*) FROM o WHERE p.x {_op} o.x) > 1")(lambda spark, d, op=_op: D.overmatched_rows(_with_nan(spark, d, "p"), _with_nan(spark, d, "o"), [("x", op, "x")]))
+
+query("d02_nan_key", f"WITH {_sides} SELECT count(*) AS n FROM (SELECT 1 FROM o GROUP BY x HAVING count(*) > 1) AS g")(lambda spark, d: D.duplicate_keys(_with_nan(spark, d, "o"), ["x"]))
+
+
 # --- schemas --------------------------------------------------------------
 
 
@@ -175,21 +205,23 @@ def _rows(names: str, rows: list[tuple]) -> str:
     return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(cell, r)) + ')' for r in rows)}) AS t({names})"
 
 
-@query("schema_columns", _rows("table_name, column_name, type", [(t, c, k) for t, cs in COLUMNS.items() for c, k in cs]))
+def _described(tables) -> str:
+    """The columns of tables as DuckDB describes them."""
+    return " UNION ALL ".join(f"SELECT '{t}' AS table_name, column_name, column_type AS type FROM (DESCRIBE SELECT * FROM {t})" for t in tables)
+
+
+@query("schema_columns", _described(TABLES))
 def _(spark, d):
     found = describe(Frames({t: read(spark, d, t) for t in TABLES}))
     return spark.createDataFrame([(x.table, x.column, x.type) for x in found], "table_name string, column_name string, type string")
 
 
-def _legacy(kind: str) -> str:
-    return {"BIGINT": "number", "INTEGER": "number", "DOUBLE": "number", "VARCHAR": "string", "TIMESTAMP": "datetime", "FLOAT[]": "list"}[kind]
-
-
 def _types(table: str) -> None:
     def run(spark, d):
         return spark.createDataFrame([(f.name, legacy_type(f.dataType)) for f in read(spark, d, table).schema.fields], "column_name string, type string")
 
-    query(f"types_{table}", _rows("column_name, type", [(c, _legacy(k)) for c, k in COLUMNS[table]]))(run)
+    older = "CASE WHEN type LIKE '%[]' THEN 'list' WHEN type LIKE 'TIMESTAMP%' THEN 'datetime' WHEN type = 'DATE' THEN 'date' WHEN type = 'BOOLEAN' THEN 'boolean' WHEN type IN ('VARCHAR', 'BLOB') THEN 'string' ELSE 'number' END"
+    query(f"types_{table}", f"SELECT column_name, {older} AS type FROM ({_described([table])}) AS d")(run)
 
 
 for _table in TABLES:
@@ -204,12 +236,20 @@ def dictionary(tables: dict[str, dict[str, tuple[str | None, tuple[str, ...]]]],
     )
 
 
+_EXPECTED = [("orders", "o_orderkey", "BIGINT"), ("orders", "O_CUSTKEY", "INTEGER"), ("orders", "o_comment", None), ("invoices", "id", "BIGINT")]
+
+
 @query(
     "m02_m03_schema_diff",
-    _rows("code, table_name, column_name", [("M01", "orders", "o_custkey"), ("M02", "orders", "o_comment"), *(("M03", "orders", c) for c in ("o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority")), ("M06", "invoices", None), *(("M07", t, None) for t in sorted(set(TABLES) - {"orders"}))]),
+    f"""WITH expected AS ({_rows("t, c, type", _EXPECTED)}), found AS ({_described(TABLES)})
+    SELECT 'M01' AS code, t AS table_name, lower(c) AS column_name FROM expected AS e JOIN found AS f ON f.table_name = e.t AND lower(f.column_name) = lower(e.c) WHERE e.type <> f.type
+    UNION ALL SELECT 'M02', t, lower(c) FROM expected AS e WHERE t IN (SELECT table_name FROM found) AND NOT EXISTS (SELECT 1 FROM found AS f WHERE f.table_name = e.t AND lower(f.column_name) = lower(e.c))
+    UNION ALL SELECT 'M03', table_name, lower(column_name) FROM found AS f WHERE table_name IN (SELECT t FROM expected) AND NOT EXISTS (SELECT 1 FROM expected AS e WHERE f.table_name = e.t AND lower(f.column_name) = lower(e.c))
+    UNION ALL SELECT 'M06', t, NULL FROM (SELECT DISTINCT t FROM expected) AS e WHERE t NOT IN (SELECT table_name FROM found)
+    UNION ALL SELECT 'M07', table_name, NULL FROM (SELECT DISTINCT table_name FROM found) AS f WHERE table_name NOT IN (SELECT t FROM expected)""",
 )
 def _(spark, d):
-    expected = dictionary({"orders": {"o_orderkey": ("BIGINT", ()), "O_CUSTKEY": ("INTEGER", ()), "o_comment": (None, ())}, "invoices": {"id": ("BIGINT", ())}})
+    expected = dictionary({t: {c: (k, ()) for t2, c, k in _EXPECTED if t2 == t} for t in ("orders", "invoices")})
     report = Report()
     check_rich(spark, expected, report, None, source=Frames({t: read(spark, d, t) for t in TABLES}))
     return report.to_df(spark).select("code", "table_name", F.lower("column_name").alias("column_name"))
@@ -235,7 +275,21 @@ def _type_rows() -> list[tuple]:
     return [(text, str(k), category(k), capacity(k) if capacity(k) < 1 << 63 else None, int(orderable(k))) for text, k in kinds]
 
 
-_literal("type_language", "text string, canonical string, category string, capacity bigint, orderable bigint", _TYPES, _type_rows)
+_CANONICAL = " UNION ALL ".join(f"SELECT '{text.replace(chr(39), chr(39) * 2)}' AS text, typeof(CAST(NULL AS {text})) AS canonical" for text, *_ in _TYPES)
+_BITS = "CASE k WHEN 'TINYINT' THEN 7 WHEN 'SMALLINT' THEN 15 WHEN 'INTEGER' THEN 31 WHEN 'UTINYINT' THEN 8 WHEN 'FLOAT' THEN 24 WHEN 'BOOLEAN' THEN 1 WHEN 'UUID' THEN 48 END"
+query(
+    "type_language",
+    f"""WITH told AS ({_CANONICAL}), parts AS (
+        SELECT text, canonical, canonical LIKE '%]' OR regexp_matches(canonical, '^(STRUCT|MAP|UNION)') AS nested,
+            list_transform(CASE WHEN canonical LIKE '%]' THEN [regexp_replace(canonical, '\\[\\d*\\]$', '')] WHEN canonical LIKE 'UNION%' THEN [regexp_extract(canonical, '\\w+ (\\w+)', 1)] WHEN canonical LIKE 'STRUCT%' THEN regexp_extract_all(canonical, '\\w+ (\\w+)', 1) WHEN canonical LIKE 'MAP%' THEN regexp_extract_all(substr(canonical, 4), '\\w+') ELSE [canonical] END, lambda x: x) AS kinds FROM told
+    ), sizes AS (
+        SELECT text, min(CASE WHEN k LIKE 'DECIMAL%' THEN CAST(power(10, CAST(regexp_extract(k, '(\\d+),', 1) AS INTEGER) - CAST(regexp_extract(k, ',(\\d+)', 1) AS INTEGER)) AS BIGINT) WHEN k LIKE 'ENUM%' THEN len(string_split(k, ',')) WHEN k IN ('TIMESTAMP', 'TIMESTAMP WITH TIME ZONE') THEN 250000000000 WHEN k = 'TIMESTAMP_NS' THEN 0 WHEN k = 'DATE' THEN 2890000 ELSE CAST(power(2, {_BITS}) AS BIGINT) END) AS capacity
+        FROM (SELECT text, unnest(kinds) AS k FROM parts) AS u GROUP BY text
+    )
+    SELECT p.text, canonical, CASE WHEN nested THEN 'other' WHEN canonical LIKE 'ENUM%' THEN 'enum' WHEN canonical LIKE '%ZONE' THEN 'timestamptz' WHEN canonical LIKE 'TIMESTAMP%' THEN 'timestamp' WHEN canonical IN ('BOOLEAN', 'DATE') THEN lower(canonical) WHEN canonical IN ('UUID', 'VARCHAR') THEN 'other' ELSE 'numeric' END AS category,
+        capacity, CAST(NOT nested AND (canonical LIKE 'DECIMAL%' OR canonical IN ('INTEGER', 'TIMESTAMP', 'TIMESTAMP WITH TIME ZONE')) AS BIGINT) AS orderable
+    FROM parts AS p JOIN sizes AS s ON s.text = p.text""",
+)(lambda spark, d: spark.createDataFrame(_type_rows(), "text string, canonical string, category string, capacity bigint, orderable bigint"))
 
 
 def _scoped() -> Dictionary:
@@ -247,12 +301,27 @@ def _scoped() -> Dictionary:
 
 _literal("typedef_expansion", "table_name string, name string, expansion string", [(None, "base", "INTEGER"), (None, "list", "INTEGER[]"), (None, "round", None), ("own", "base", "VARCHAR"), ("own", "list", "VARCHAR[]")], lambda: [(e.table, e.name, e.expansion) for e in expand_typedefs(_scoped())])
 _JOIN = "e.date >= p.start AND p.stop >= e.date AND e.cal == p.cal"
-_literal(
-    "join_orientation", "probe_left bigint, probe string, op string, other string",
-    [(1, "e.date", ">=", "p.start"), (1, "e.date", "<=", "p.stop"), (1, "e.cal", "=", "p.cal"), (0, "p.start", "<=", "e.date"), (0, "p.stop", ">=", "e.date"), (0, "p.cal", "=", "e.cal")],
-    lambda: [(int(left), f"{c.left.table}.{c.left.column}", c.op, f"{c.right.table}.{c.right.column}") for left in (True, False) for c in Join.parse(_JOIN).oriented(left)],
-)
-_literal("fk_targets", "column_name string, target string", [("orders.o_custkey", "customer.c_custkey"), ("orders.o_orderkey", "lineitem.l_orderkey")], lambda: [(f"orders.{c}", f"{t.table}.{t.column}") for c in ("o_custkey", "o_orderkey") for t in report_dictionary().foreign_key_targets("orders", c)])
+_PIECES = r"""SELECT row_number() OVER () AS i, regexp_extract(piece, '(\w+\.\w+) *(==|>=|<=|=|>|<) *(\w+\.\w+)', 1) AS l, replace(regexp_extract(piece, '(==|>=|<=|=|>|<)', 1), '==', '=') AS op, regexp_extract(piece, '(\w+\.\w+) *(==|>=|<=|=|>|<) *(\w+\.\w+)', 3) AS r FROM (SELECT unnest(string_split({join}, ' AND ')) AS piece) AS u"""
+_MIRROR = "CASE op WHEN '>' THEN '<' WHEN '<' THEN '>' WHEN '>=' THEN '<=' WHEN '<=' THEN '>=' ELSE op END"
+query(
+    "join_orientation",
+    f"""WITH pieces AS ({_PIECES.format(join=repr(_JOIN))}), head AS (SELECT split_part(arg_min(l, i), '.', 1) AS t FROM pieces), turned AS (
+        SELECT CASE WHEN split_part(l, '.', 1) = t THEN l ELSE r END AS l, CASE WHEN split_part(l, '.', 1) = t THEN op ELSE {_MIRROR} END AS op, CASE WHEN split_part(l, '.', 1) = t THEN r ELSE l END AS r FROM pieces, head
+    ) SELECT CAST(1 AS BIGINT) AS probe_left, l AS probe, op, r AS other FROM turned UNION ALL SELECT 0, r, {_MIRROR}, l FROM turned""",
+)(lambda spark, d: spark.createDataFrame([(int(left), f"{c.left.table}.{c.left.column}", c.op, f"{c.right.table}.{c.right.column}") for left in (True, False) for c in Join.parse(_JOIN).oriented(left)], "probe_left bigint, probe string, op string, other string"))
+
+
+@query(
+    "fk_targets",
+    f"""WITH keys AS (SELECT 'customer.c_custkey' AS k UNION ALL SELECT 'orders.o_orderkey' UNION ALL SELECT 'lineitem.l_orderkey' UNION ALL SELECT 'lineitem.l_linenumber'), pieces AS (
+        {_PIECES.format(join="'orders.o_custkey = customer.c_custkey'")} UNION ALL {_PIECES.format(join="'orders.o_orderkey = lineitem.l_orderkey'")}
+    ), ways AS (SELECT l, r FROM pieces WHERE op = '=' UNION ALL SELECT r, l FROM pieces WHERE op = '=')
+    SELECT l AS column_name, r AS target FROM ways WHERE r IN (SELECT k FROM keys) AND l IN ('orders.o_custkey', 'orders.o_orderkey')""",
+)
+def _(spark, d):
+    return spark.createDataFrame([(f"orders.{c}", f"{t.table}.{t.column}") for c in ("o_custkey", "o_orderkey") for t in report_dictionary().foreign_key_targets("orders", c)], "column_name string, target string")
+
+
 _literal("generation_plan", "place bigint, table_name string, column_name string, role string, nullable bigint", [
     (0, "customers", "id", "Indexed", 0), (0, "customers", "email", "Indexed", 1), (0, "customers", "score", "Plain", 0), (0, "customers", "note", "Plain", 1), (1, "orders", "id", "Indexed", 0), (1, "orders", "customer_id", "Draw", 0), (1, "orders", "amount", "Plain", 1), (2, "profiles", "id", "Indexed", 0), (2, "profiles", "customer_id", "Draw", 0),
     (3, "windows", "id", "Indexed", 0), (3, "windows", "lo", "Bound", 0), (3, "windows", "hi", "Bound", 0), (4, "hits", "id", "Indexed", 0), (4, "hits", "at", "Probe", 0), (4, "hits", "window_id", "Copy", 0),
@@ -302,6 +371,34 @@ for _name, _type, _sql, _n in (
 ):
     _nth(_name, _type, _sql, _n)
 
+
+
+def _nth_parts(name: str, type_text: str, parts: dict[str, tuple[str, str]], rows: int = ROWS) -> None:
+    """Like _nth(), by parts of the value: {column: (Spark expression of v, DuckDB expression of i)}."""
+
+    def run(spark, d):
+        return spark.range(rows).select(F.col("id").alias("i"), nth(parse_type(type_text), F.col("id")).alias("v")).selectExpr("i", *(f"{mine} AS {c}" for c, (mine, _) in parts.items()))
+
+    query(name, f"SELECT i, {', '.join(f'{sql} AS {c}' for c, (_, sql) in parts.items())} FROM range({rows}) AS r(i)")(run)
+
+
+_TEXT_SQL = "'v' || lpad(CAST(i AS VARCHAR), 20, '0')"
+_nth_parts("nth_blob", "BLOB", {"v": ("lower(hex(v))", "lpad(lower(hex(i)), 16, '0')"), "n": ("octet_length(v)", "CAST(8 AS INTEGER)")})
+_nth_parts("nth_timestamptz", "TIMESTAMPTZ", {"v": ("unix_seconds(v)", "CAST(epoch(TIMESTAMP '2000-01-01 00:00:00' + to_seconds(i)) AS BIGINT)")})
+_nth_parts("nth_interval", "INTERVAL", {"v": ("unix_seconds(timestamp_seconds(0) + v)", "CAST(epoch(to_seconds(i)) AS BIGINT)")})
+_nth_parts("nth_map", "MAP(VARCHAR, INTEGER)", {"k": ("map_keys(v)[0]", _TEXT_SQL), "v": ("map_values(v)[0]", "CAST(i AS INTEGER)"), "n": ("size(v)", "1")})
+_nth_parts("nth_union", "UNION(n SMALLINT, s VARCHAR)", {"tag": ("v.tag", "'n'"), "n": ("v.n", "CAST(i AS SMALLINT)"), "s": ("v.s", "CAST(NULL AS VARCHAR)")})
+for _name, _type, _sql in (("bigint", "BIGINT", "i"), ("smallint", "SMALLINT", "CAST(i AS SMALLINT)"), ("utinyint", "UTINYINT", "CAST(i AS SMALLINT)"), ("usmallint", "USMALLINT", "CAST(i AS INTEGER)"), ("uinteger", "UINTEGER", "i"), ("float", "FLOAT", "CAST(i AS FLOAT)")):
+    _nth(f"nth_{_name}", _type, _sql, 256 if _type == "UTINYINT" else ROWS)
+_CAPACITIES = {"BOOLEAN": 2, "TINYINT": 128, "ENUM('a','b','c')": 3, "TIME": 24 * 60 * 60, "DECIMAL(5,2)": 10**3, "STRUCT(a TINYINT, b BOOLEAN)": 2, "MAP(TINYINT, DATE)": 128, "TIMESTAMP_S": 0}
+
+
+@query("nth_refusals", " UNION ALL ".join(f"SELECT '{t.replace(chr(39), chr(39) * 2)}' AS type, i, i >= {n} AS refused FROM (SELECT unnest([0, 1, 2, 3, 127, 128, 999, 1000, 86399, 86400]) AS i) AS r" for t, n in _CAPACITIES.items()))
+def _(spark, d):
+    places = spark.createDataFrame([(i,) for i in (0, 1, 2, 3, 127, 128, 999, 1000, 86399, 86400)], "i int")
+    return reduce(DataFrame.unionByName, (places.select(F.lit(t).alias("type"), "i", (~within_capacity(parse_type(t), F.col("i").cast("long"))).alias("refused")) for t in _CAPACITIES))
+
+
 _W = "18446744073709551616"
 
 
@@ -374,7 +471,14 @@ _generated(
 )
 
 
-@query("gen_validates_clean", "SELECT CAST(0 AS BIGINT) AS problems")
+_CLEAN_SQL = f"""WITH customers AS (SELECT i AS id FROM range(300) AS r(i)), orders AS (SELECT i AS id, h % 300 AS customer_id FROM ({mix_sql(3, 'fk:orders.customer_id')}) AS m), windows AS (SELECT i AS id, 3 * i AS lo, 3 * i + 2 AS hi FROM range(50) AS r(i)),
+    hits AS (SELECT i AS id, 3 * (h % 50) + 1 AS at, h % 50 AS window_id FROM ({mix_sql(3, 'range:2')}) AS m), counted AS (
+    SELECT count(*) - count(DISTINCT id) AS n FROM orders UNION ALL SELECT count(*) - count(DISTINCT lo) FROM windows UNION ALL SELECT count(*) FROM orders WHERE customer_id NOT IN (SELECT id FROM customers)
+    UNION ALL SELECT count(*) FROM hits AS x WHERE (SELECT count(*) FROM windows AS w WHERE x.at >= w.lo AND x.at <= w.hi AND x.window_id = w.id) > 1)
+    SELECT CAST(count(*) FILTER (WHERE n > 0) AS BIGINT) AS problems FROM counted"""
+
+
+@query("gen_validates_clean", _CLEAN_SQL)
 def _(spark, d):
     """The validator is the generator's oracle."""
     report = Report()
@@ -411,3 +515,7 @@ def problem_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     check_rich(spark, report_dictionary(), report, None, source=Frames({t: read(spark, sf_dir, t) for t in ("customer", "orders", "lineitem")}), data=True)
     return report.to_df(spark).select("code", "severity", "table_name", "column_name", "count")
 
+
+
+QUERIES |= rule_queries.QUERIES
+ORACLE |= rule_queries.ORACLE

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
 from pathlib import Path
@@ -56,6 +58,10 @@ class ParquetFolder:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(self._places[name])
 
+    def columns(self, name: str) -> list[FileColumn]:
+        """A table's columns and nulls as footers tell them."""
+        return parquet_columns(self._places[name], self.spark)
+
 
 class CatalogDatabase:
     """Tables and views of a catalog's database."""
@@ -130,8 +136,49 @@ class FileColumn:
     nulls: int | None
 
 
-def parquet_columns(path: str) -> list[FileColumn]:
-    """From a local file's footer alone. A column that must have values has no nulls; a row group without statistics makes the number unknown."""
+#: Footers that the driver reads of one table; of a table of more files only a scan can tell the nulls.
+MOST_FOOTERS = 1000
+
+
+def parquet_columns(path: str, spark: SparkSession | None = None) -> list[FileColumn]:
+    """From footers alone: those of a file or a folder of files, here or, with a session, on any file system that Spark reads.
+
+    The first file tells names and types. A column that must have values has no nulls; a row group without statistics makes the number unknown, and so does a file without the column.
+    """
+    footers = _hadoop_footers(spark, path) if spark is not None else [path]
+    found = [_file_columns(f) for f in footers[:MOST_FOOTERS]]
+    if not found:
+        raise FileNotFoundError(f"{path} has no Parquet file")
+    by_name = [{c.name: c.nulls for c in columns} for columns in found]
+    known = lambda name: [x.get(name) for x in by_name] if len(footers) <= MOST_FOOTERS else [None]
+    return [FileColumn(c.name, c.type, c.logical, c.physical, None if None in known(c.name) else sum(known(c.name))) for c in found[0]]
+
+
+def _hadoop_footers(spark: SparkSession, path: str) -> list:
+    """Each Parquet file's footer as a file of its own, read from the file's end."""
+    import io
+
+    jvm = spark._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    fs = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    status = fs.getFileStatus(place)
+    files = sorted((s for s in fs.listStatus(place) if s.isFile() and not s.getPath().getName().startswith(("_", "."))), key=lambda s: s.getPath().getName()) if status.isDirectory() else [status]
+    out = []
+    for s in files:
+        stream = fs.open(s.getPath())
+        try:
+            size = s.getLen()
+            stream.seek(size - 8)
+            end = bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(stream, 8))
+            length = int.from_bytes(end[:4], "little")
+            stream.seek(size - 8 - length)
+            out.append(io.BytesIO(b"PAR1" + bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(stream, length)) + end))
+        finally:
+            stream.close()
+    return out
+
+
+def _file_columns(path) -> list[FileColumn]:
     import pyarrow.parquet as pq
 
     f = pq.ParquetFile(path)
@@ -150,6 +197,16 @@ def parquet_columns(path: str) -> list[FileColumn]:
     return out
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A new path in the folder that driver and executors share, which spark.checkpoint.dir names; in local sessions that name none, one of this machine."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="lexispark-")
+    return f"{root.rstrip('/')}/table-{uuid.uuid4().hex}"
+
+
 def _nested_name(t) -> str:
     import pyarrow as pa
 

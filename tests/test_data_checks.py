@@ -109,6 +109,42 @@ def test_against_every_pair(spark, shape, kind):
     assert got == expected
 
 
+NAN = float("nan")
+
+
+def test_nan_equals_itself_and_is_greatest(spark):
+    p, o = frame(spark, [(NAN,), (1.0,)], "x double"), frame(spark, [(NAN,), (NAN,), (0.5,), (0.2,)], "x double")
+    assert [n(D.overmatched_rows(p, o, [("x", op, "x")])) for op in ("=", ">=", ">", "<=", "<")] == [1, 2, 2, 2, 1]
+
+
+@pytest.mark.parametrize("shape", [[("a", ">=", "x"), ("b", "<", "y")], [("a", "<", "x"), ("b", "<=", "y")], [("a", ">", "x"), ("b", ">=", "z"), ("a", "<=", "y")], [("b", "=", "z"), ("a", "<=", "x")]], ids=str)
+def test_no_pairs_of_all_rows(spark, shape):
+    rng = random.Random(str(shape))
+    value = lambda: rng.choice([None, NAN, *map(float, range(9))])
+    rank = lambda v: (v != v, 0 if v != v else v)
+    p, o = [(value(), value()) for _ in range(50)], [(value(), value(), value()) for _ in range(30)]
+    fits = lambda r, s: all(a is not None and b is not None and OPS[op](rank(a), rank(b)) for a, op, b in ((dict(zip("ab", r, strict=True))[c], op, dict(zip("xyz", s, strict=True))[e]) for c, op, e in shape))
+    q = D.overmatched_rows(frame(spark, p, "a double, b double"), frame(spark, o, "x double, y double, z double"), shape)
+    assert n(q) == sum(sum(fits(r, s) for s in o) > 1 for r in p)
+    plan = q._jdf.queryExecution().toString()
+    assert "Cartesian" not in plan and "NestedLoop" not in plan
+
+
+def test_rows_are_numbered_through_all_files(spark, tmp_path):
+    for i, name in enumerate("cab"):
+        rows = [(None if (i, j) in {(0, 1), (1, 3), (2, 0), (2, 4)} else j,) for j in range(5)]
+        frame(spark, rows, "x int").coalesce(1).write.parquet(str(tmp_path / "t" / f"part={name}"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    assert [r.row for r in D.null_rows(df, "x").collect()] == [4, 6, 10, 12]
+    assert [r.row for r in D.null_rows(df, "x", 2).collect()] == [4, 6]
+
+
+def test_long_texts_are_told_apart(spark):
+    long = "x" * 100
+    df = frame(spark, [(long + "a",), (long + "a",), (long + "b",), ("short",), ("short",), (None,)], "t string")
+    assert n(D.duplicate_values(df, "t")) == 2 and n(D.duplicate_values(df.selectExpr("cast(t AS binary) AS t"), "t")) == 2
+
+
 def test_empty_tables(spark):
     empty = frame(spark, [], "id int, x int")
     assert tuple(D.count_nulls(empty, ["id"]).first()) == (0,)

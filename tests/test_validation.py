@@ -188,6 +188,23 @@ def test_footers(spark, tmp_path):
     assert counts == {"i": 1, "d": 1, "s": 0, "st": 1}
 
 
+def test_footers_of_many_files(spark, tmp_path):
+    df = spark.createDataFrame([(i, None if i % 4 == 0 else str(i)) for i in range(40)], "i bigint, s string")
+    df.repartition(3).write.parquet(str(tmp_path / "data" / "t.parquet"))
+    for found in (relations.parquet_columns(f"file://{tmp_path}/data/t.parquet", spark), ParquetFolder(spark, f"file://{tmp_path}/data").columns("t")):
+        assert {c.name: (c.type, c.physical, c.nulls) for c in found} == {"i": ("number", "INT64", 0), "s": ("string", "BYTE_ARRAY", 10)}
+
+
+def test_values_end_at_the_capacity(spark):
+    from lexispark.functions.types import parse_type
+    from lexispark.functions.values import checked_nth
+
+    values = lambda n: [r.v for r in spark.range(n).select(checked_nth(parse_type("BOOLEAN"), F.col("id")).alias("v")).collect()]
+    assert values(2) == [False, True]
+    with pytest.raises(Exception, match="BOOLEAN has no value number 2"):
+        values(3)
+
+
 # --- generation -----------------------------------------------------------
 
 
