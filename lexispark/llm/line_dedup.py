@@ -113,10 +113,11 @@ def recurring_lines(docs: DataFrame, scratch: Scratch) -> DataFrame:
         by_text = df.groupBy(key, "h").agg(F.min("doc_id").alias("doc_id"))
         return by_text.groupBy(key).agg(F.count("*").alias("texts"), F.min(F.struct("doc_id", "h")).alias("first")).where(F.col("texts") >= least).select(key, "texts", F.col("first.h").alias("owner"))
 
+    # Owners are written, so that joins with them have exchanges of their own, which Spark splits where a line or template is very common.
     # Lines that are equal are equal when masked, so those that recur as they are are among these.
     shared = scratch.table(first_texts(lines, "masked", min(EXACT_TEXTS, LEAST_TEXTS)), "shared")
     again = scratch.table(lines.join(shared.select("masked").hint("merge"), "masked", "left_semi"), "again")
-    repeated = again.join(first_texts(again, "whole", EXACT_TEXTS), "whole").where("texts >= least and h <> owner").select("doc_id", "h", "line")
+    repeated = again.join(scratch.table(first_texts(again, "whole", EXACT_TEXTS), "owners"), "whole").where("texts >= least and h <> owner").select("doc_id", "h", "line")
     exact = shared.where(F.col("texts") >= LEAST_TEXTS).select("masked", "owner")
     # Leaves with enough lines. Those that recur as they are take part: in a large corpus all lines of a template may.
     long_lines = whole_lines.where(F.size("tokens") > 0)
@@ -126,10 +127,10 @@ def recurring_lines(docs: DataFrame, scratch: Scratch) -> DataFrame:
     placed = parsed.select("leaf", "masked", F.size("tokens").alias("n"), F.posexplode("tokens").alias("place", "token"))
     have = placed.groupBy("leaf", "place", "token").agg(F.count("*").alias("have")).where(F.col("have") >= LEAST_TEXTS)
     constant = have.join(leaves, "leaf").where(F.col("have") * 100 >= F.col("lines") * SHARE_PERCENT).select("leaf", "place", "token")
-    constants = placed.join(constant, ["leaf", "place", "token"]).groupBy("leaf", "masked", "n").agg(F.count("*").alias("constants"), F.sum(F.xxhash64("place", "token").cast("decimal(38,0)")).alias("mark"))
+    constants = placed.join(scratch.table(constant, "constant"), ["leaf", "place", "token"]).groupBy("leaf", "masked", "n").agg(F.count("*").alias("constants"), F.sum(F.xxhash64("place", "token").cast("decimal(38,0)")).alias("mark"))
     templates = constants.where(F.col("constants") * 100 >= F.col("n") * CONSTANT_PERCENT).select("masked", F.xxhash64("leaf", "mark").alias("template"))
     templated = scratch.table(lines.join(templates, "masked"), "templated")
-    general = first_texts(templated, "template", LEAST_TEXTS)
+    general = scratch.table(first_texts(templated, "template", LEAST_TEXTS), "general")
     of_masked, of_template = (x.where("h <> owner").select("doc_id", "h", "line") for x in (again.where("parsed").join(exact, "masked"), templated.join(general, "template")))
     return repeated.union(of_masked).union(of_template).distinct()
 
