@@ -14,10 +14,11 @@ from html.parser import HTMLParser
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, map_batches
+from .common import BATCH_BYTES, Scratch, map_batches
 
 #: Samples in an image's row; payloads are padded with bytes 0 to a positive multiple of it.
 WIDTH = 64
@@ -187,17 +188,30 @@ def feature_of(samples: bytes) -> str:
 def store_payloads(payloads: DataFrame, scratch: Scratch) -> DataFrame:
     """Writes (digest, n_bytes, media) of (digest, text) to the shared folder, a row for each digest; null text counts as empty.
 
-    Copies meet before they are stored, combined in each task first, so a payload that very many rows have is sent once a task. Texts may be of any length; an empty table gives an empty store.
+    Copies meet before they are stored, combined in each task first, so a payload that very many rows have is sent once a task, as a Zstandard frame. Texts may be of any length; an empty table gives an empty store.
     """
 
-    def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for lo in range(0, whole.num_rows, 256):
-                b = whole.slice(lo, 256)
-                data = [(t or "").encode() for t in b.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([b.column("digest"), pa.array(map(len, data), pa.int64()), pa.array(map(image_bytes, data), pa.binary())], names=["digest", "n_bytes", "media"])
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer = zstandard.ZstdCompressor(level=1)
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column("digest"), pa.array([packer.compress((t or "").encode()) for t in b.column("text").to_pylist()], pa.binary())], names=["digest", "packed"])
 
-    return scratch.table(map_batches(payloads.groupBy("digest").agg(F.first("text").alias("text")), store, "digest string, n_bytes long, media binary"), "payloads", keep=True)
+    def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpacker = zstandard.ZstdDecompressor()
+        for b in batches:
+            digests, sizes, images = [], [], []
+            for i, (digest, packed) in enumerate(zip(b.column("digest").to_pylist(), b.column("packed").to_pylist(), strict=True), 1):
+                data = unpacker.decompress(packed)
+                digests.append(digest)
+                sizes.append(len(data))
+                images.append(image_bytes(data))
+                # A frame may be far smaller than its text, so what goes out is bounded by its own size.
+                if i == b.num_rows or sum(sizes) >= BATCH_BYTES or len(sizes) == 256:
+                    yield pa.RecordBatch.from_arrays([pa.array(digests, pa.string()), pa.array(sizes, pa.int64()), pa.array(images, pa.binary())], names=["digest", "n_bytes", "media"])
+                    digests, sizes, images = [], [], []
+
+    packed = map_batches(payloads.select("digest", "text"), pack, "digest string, packed binary").groupBy("digest").agg(F.first("packed").alias("packed"))
+    return scratch.table(map_batches(packed, store, "digest string, n_bytes long, media binary"), "payloads", keep=True)
 
 
 def described(store: DataFrame) -> DataFrame:
