@@ -11,7 +11,7 @@ and lose no link:
 * Each first shingle links its documents to one hub document, that which has the fewest shingles before it, where exact counts allow. First shingles whose
   documents are then all in one component are done with; so a group of near copies costs
   a comparison for each, not for each pair.
-* Of the others, pairs of different components that the sizes allow are compared, once, at the first open shingle that they share.
+* Of the others, pairs of different components that the sizes allow at an open shingle that they share are compared, once.
 
 The columns are in blocks. A vertex carries its number of shingles in each block, and a pair is discarded
 unless the smaller numbers add up to the overlap that its sizes call for. The rest is a product of the rows of many vertices with that
@@ -38,6 +38,8 @@ from .components import connected_components
 MOST_FREQUENT = 1 << 20
 #: Rows of a shingle, and shingles of the vertices compared with one, that a task takes together, about; more are dealt over more tasks.
 ROWS_TOGETHER, SHINGLES_TOGETHER = 1024, 1 << 20
+#: Earlier open shingles that a row carries to tell that a pair has met before. A pair that shares none of them meets again and is one pair all the same.
+CARRIED = 32
 #: A shingle that was counted less often isn't called frequent. A task's counters, and shingles that it counts with them.
 LEAST_FREQUENCY, COUNTERS, WINDOW = 32, 1 << 25, 4 << 20
 #: The product takes n-gram columns in so many blocks; vertices carry counts for more, narrower ones.
@@ -262,10 +264,11 @@ def link_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
 
     wide = postings.where("docs > 2").select("token", "docs", "v", "n", "place").join(labels, "v", "left").withColumn("label", F.coalesce("label", "v"))
     open_tokens = wide.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("rows")).where("lo < hi").select("token", "rows")
-    # A pair is compared at the first open shingle that both sets have, so once: each row knows its vertex's open shingles before it.
+    # A pair meets at the first open shingle that both sets have. Each row knows the first of its vertex's open shingles before it, so that most pairs
+    # meet only there; all of them would grow with the square of a text. Pairs that meet several times are one after distinct().
     own = wide.join(open_tokens, "token").groupBy("v", "n", "label").agg(F.sort_array(F.collect_list(F.struct("place", "token", "rows"))).alias("own"))
     each = own.select("v", "n", "label", F.transform("own", lambda t: t["token"]).alias("tokens"), F.posexplode("own").alias("i", "t"))
-    left = scratch.table(each.select("t.token", "t.rows", "v", "n", "label", "t.place", F.slice("tokens", F.lit(1), F.col("i")).alias("before")), "open")
+    left = scratch.table(each.select("t.token", "t.rows", "v", "n", "label", "t.place", F.slice("tokens", F.lit(1), F.least(F.col("i"), F.lit(CARRIED))).alias("before")), "open")
     right = _all_parts(left, "part", F.col("rows"), ROWS_TOGETHER).select("token", "part", *(F.col(c).alias(f"{c}2") for c in ("v", "n", "label", "place", "before")))
     differ = (F.col("v") < F.col("v2")) & (F.col("label") != F.col("label2")) & allowed("n", "place", "n2", "place2")
     more = _dealt(left, "part", F.col("v"), F.col("rows"), ROWS_TOGETHER).join(right, ["token", "part"]).where(differ & ~F.arrays_overlap("before", "before2"))
