@@ -3,6 +3,7 @@
 import datetime
 import operator
 import random
+import re
 
 import pytest
 from lexispark.operators import data_checks as D
@@ -150,3 +151,38 @@ def test_empty_tables(spark):
     assert tuple(D.count_nulls(empty, ["id"]).first()) == (0,)
     for q in (D.duplicate_keys(empty, ["id"]), D.duplicate_values(empty, "id"), D.orphaned_values(empty, "id", empty, "id"), *(D.overmatched_rows(empty, empty, s) for s in ([("id", "=", "id")], [("id", ">=", "x")], [("id", "<", "x")]))):
         assert n(q) == 0
+
+
+MORE = [
+    [("a", ">=", "x"), ("a", "<=", "y"), ("b", ">", "z")], [("a", "<", "x"), ("b", ">=", "y"), ("c", "<", "z")], [("c", "=", "w"), ("a", ">", "x"), ("b", "<", "y"), ("a", "<=", "z")],
+    [("a", ">=", "x"), ("a", "<", "w"), ("b", "<=", "y"), ("b", ">", "x"), ("c", ">=", "z")],
+]
+
+
+@pytest.mark.parametrize("shape", MORE, ids=lambda s: " and ".join(map(" ".join, s)))
+@pytest.mark.parametrize("numbers", [6, 1000])
+def test_three_and_more_comparisons(spark, shape, numbers):
+    """Few values, so many ties and equal rows, and many, so hardly any. No pairs are compared."""
+    rng = random.Random(f"{shape} {numbers}")
+    value = lambda: rng.choice([None, NAN, *[float(rng.randrange(numbers)) for _ in range(14)]])
+    p, o = [tuple(value() for _ in "abc") for _ in range(150)], [tuple(value() for _ in "wxyz") for _ in range(60)]
+    p, o = p + p[:20], o + o[:5]
+    rank = lambda v: (v != v, 0 if v != v else v)
+    fits = lambda r, s: all(a is not None and b is not None and OPS[op](rank(a), rank(b)) for a, op, b in ((r["abc".index(c)], op, s["wxyz".index(e)]) for c, op, e in shape))
+    q = D.overmatched_rows(frame(spark, p, "a double, b double, c double"), frame(spark, o, "w double, x double, y double, z double"), shape)
+    assert n(q) == sum(sum(fits(r, s) for s in o) > 1 for r in p)
+    plan = q._jdf.queryExecution().toString()
+    assert "Cartesian" not in plan and "NestedLoop" not in plan and not re.search(r"Join.*\bp\d#\w+ [<>]=? o\d#", plan)
+
+
+def test_three_comparisons_of_larger_tables(spark):
+    """Every pair fits the first comparison; kinds of numbers differ; matches that are told by one row twice, by two rows, or in different nodes."""
+    size, rng = 1500, random.Random(5)
+    p, o = [(i, rng.random() * 100, rng.randrange(size)) for i in range(size)], [(-rng.randrange(size), rng.randrange(90), rng.randrange(size)) for _ in range(size)]
+    few = [(a, x, k) for a, x, k in o if k % 9 == 0]
+    shape = [("a", ">=", "x"), ("b", "<=", "y"), ("c", ">", "z")]
+    for other in (o, few[:3], few[:1] * 2):
+        got = n(D.overmatched_rows(frame(spark, p, "a bigint, b double, c int"), frame(spark, other, "x int, y int, z bigint"), shape))
+        assert got == sum(sum(b <= y and c > z for _, y, z in other) > 1 for _, b, c in p)
+    empty = frame(spark, [], "x int, y int, z bigint")
+    assert n(D.overmatched_rows(frame(spark, p, "a bigint, b double, c int"), empty, shape)) == 0
